@@ -37,8 +37,10 @@ def lookup(
     """
     on = list(on)
     packed = F.struct(*values)
-    hot = table.where(F.col(n_rows) >= hot_rows).select(*on, packed.alias("_hot"))
-    cold = table.where(F.col(n_rows) < hot_rows).select(*on, F.lit(0).alias("_salt"), packed.alias("_cold"))
+    is_hot = F.col(n_rows) >= hot_rows
+    hot = table.where(is_hot).select(*on, packed.alias("_hot"))
+    # -1 is a salt no row asks for. A constant salt would be folded away and be no part of the shuffle key.
+    cold = table.select(*on, F.when(is_hot, F.lit(-1)).otherwise(F.lit(0)).alias("_salt"), packed.alias("_cold"))
     salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
         (F.pmod(F.xxhash64(*spread_by), F.lit(HOT_SPREAD)) + 1).cast("int")
     )

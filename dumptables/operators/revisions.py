@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import byte_length, empty_to_null, is_redirect, text_digest
 from .joins import HOT_ROWS, lookup
 
-# Revisions of one page are walked in runs of this many positions. rev_seq is unique within a page, so a run never
-# holds more rows than this, however large the page.
-RUN_LENGTH = 65_536
+# Revisions of one page are walked in runs of 2^RUN_BITS positions. rev_seq is unique within a page, so a run never
+# holds more rows than that, however large the page.
+RUN_BITS = 16
 
 
 def revision_facts(revs: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def dedup_texts(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def latest_revision(facts: DataFrame, run_length: int = RUN_LENGTH) -> DataFrame:
+def latest_revision(facts: DataFrame, run_bits: int = RUN_BITS) -> DataFrame:
     """Per page: ``latest_id``, ``touched``, ``text_len`` and ``is_redirect``.
 
     In document order a revision becomes the latest when its timestamp is strictly greater than all before it;
@@ -50,7 +50,7 @@ def latest_revision(facts: DataFrame, run_length: int = RUN_LENGTH) -> DataFrame
     ts = F.coalesce("rev_timestamp", F.lit(""))
     rows = facts.select(
         "page_id", "rev_seq", "rev_id", "text_bytes", "text_redirect",
-        ts.alias("ts"), F.floor(F.col("rev_seq") / run_length).alias("run"),
+        ts.alias("ts"), F.shiftright("rev_seq", run_bits).alias("run"),
     )
     before = W.partitionBy("page_id", "run").orderBy("rev_seq").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("prev", F.max("ts").over(before))
@@ -83,10 +83,14 @@ def latest_revision(facts: DataFrame, run_length: int = RUN_LENGTH) -> DataFrame
 
 
 def single_text_pages(facts: DataFrame) -> DataFrame:
-    """(page_id, is_new): 1 where a page has exactly one distinct text. No distinct needed: lowest = highest digest."""
-    return facts.groupBy("page_id").agg(
-        F.when(F.min("digest") == F.max("digest"), F.lit(1)).otherwise(F.lit(0)).alias("is_new")
-    )
+    """(page_id, is_new): 1 where a page has exactly one distinct text."""
+    return facts.groupBy("page_id").agg(single_text().alias("is_new"))
+
+
+def single_text() -> Column:
+    """Aggregate over the facts of a page. No distinct needed: there is one text if lowest and highest digest agree."""
+    digest = F.when(F.col("rev_id").isNotNull(), F.col("digest"))
+    return F.when(F.min(digest) == F.max(digest), F.lit(1)).otherwise(F.lit(0))
 
 
 def text_counts(facts: DataFrame) -> DataFrame:
@@ -96,12 +100,12 @@ def text_counts(facts: DataFrame) -> DataFrame:
     )
 
 
-def page_rollup(facts: DataFrame, run_length: int = RUN_LENGTH) -> DataFrame:
+def page_rollup(facts: DataFrame, run_bits: int = RUN_BITS) -> DataFrame:
     """Per page: latest revision, distinct texts, and ``is_new`` (one distinct text)."""
     counts = text_counts(facts).select(
         "page_id", "n_texts", F.when(F.col("n_texts") == 1, 1).otherwise(0).alias("is_new")
     )
-    return latest_revision(facts, run_length).join(counts, "page_id")
+    return latest_revision(facts, run_bits).join(counts, "page_id")
 
 
 CURRENT_FIELDS = ["rev_id", "parent_id", "rev_timestamp", "sha1", "model", "format", "text"]

@@ -23,8 +23,10 @@ def _stamp(column: str, raw: bool):
 
 
 def build_page(headers: DataFrame, facts: DataFrame, raw_timestamps: bool = False) -> DataFrame:
-    """13-column page table. ``headers`` needs page_id, page_namespace, page_title and may have restrictions."""
-    rollup = latest_revision(facts).join(single_text_pages(facts), "page_id")
+    """13-column page table. ``headers`` needs page_id, page_namespace, page_title and may have restrictions and is_new."""
+    rollup = latest_revision(facts)
+    if "is_new" not in headers.columns:
+        rollup = rollup.join(single_text_pages(facts), "page_id")
     restrictions = empty_to_null("restrictions") if "restrictions" in headers.columns else F.lit(None).cast("string")
     zero = F.lit(0)
     return headers.join(rollup, "page_id", "left").select(

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_title
 from .joins import checked_broadcast
+from .revisions import single_text
 
 
 def page_headers(revs: DataFrame) -> DataFrame:
-    """One row per page from the flat revision layout, with its revision count."""
+    """One row per page from the flat revision layout, with its revision count and, from facts, ``is_new``."""
     extra = [F.first(c).alias(c) for c in ("restrictions", "redirect_title", "page_ns") if c in revs.columns]
+    if "digest" in revs.columns:
+        extra.append(single_text().alias("is_new"))
     return revs.groupBy("page_id").agg(
         F.min("page_seq").alias("page_seq"),
         F.first("title").alias("title"),
@@ -69,7 +72,8 @@ def report_duplicate_titles(pages: DataFrame) -> DataFrame:
 
 def _chosen(ns: DataFrame, tokens: Sequence[str]) -> DataFrame:
     """(token, ns_id) for every token; ns_id is null where nothing matches. Sized by the user's list."""
-    wanted = ns.sparkSession.createDataFrame([(t,) for t in tokens], "token STRING")
+    listed = F.array(*[F.lit(t) for t in tokens])
+    wanted = ns.sparkSession.range(1).select(F.explode(listed).alias("token")).distinct()
     by_number = F.col("token").rlike("^[0-9]+$")
     key = F.when(by_number, F.concat(F.lit("#"), F.expr("try_cast(token AS BIGINT)").cast("string"))).otherwise(
         F.lower(normalize_title("token"))

@@ -35,12 +35,16 @@ def history_tables(
 ) -> dict[str, DataFrame]:
     """page, revision and text tables of the history path.
 
-    ``revs`` is the flat layout with texts, or revision facts together with ``texts`` (rev_id, text). Each table scans
-    ``revs`` anew and reads only the columns it needs, so hand in stored columns rather than a parse of XML.
+    ``revs`` is the flat layout with texts, or revision facts together with ``texts`` (rev_id, text). Texts are read
+    twice, for the digests and for the text table; all else works on the narrow facts, which are stored if they are
+    not yet.
     """
     has_text = "text" in revs.columns
     whole = revs
-    facts = revision_facts(revs) if has_text else revs
+    if "digest" in revs.columns:
+        facts = revs.drop("text")
+    else:
+        facts = materialize(revision_facts(revs), "facts")
     headers = page_headers(facts)
     pages = select_pages(headers, ns, namespaces)
     # Few pages are dropped as a rule. Stored, their real size is known, and the planner broadcasts them if they are
@@ -87,8 +91,10 @@ def current_tables(revs: DataFrame, user: str = "importer") -> dict[str, DataFra
 
 
 def stage_dump(spark: SparkSession, dump: str | list[str], name: str = "revisions") -> DataFrame:
-    """Parse a dump once and store the flat layout as columns; malformed pages keep their text in ``_corrupt``."""
-    return materialize(explode_revisions(scan_dump(spark, dump)), name)
+    """Parse a dump once and store flat layout and facts as columns; malformed pages keep their text in ``_corrupt``."""
+    rows = explode_revisions(scan_dump(spark, dump))
+    facts = revision_facts(rows.withColumn("_text", F.col("text")))
+    return materialize(facts.withColumnRenamed("_text", "text"), name)
 
 
 def good_revisions(staged: DataFrame) -> DataFrame:
@@ -112,7 +118,4 @@ def convert_history(spark: SparkSession, dump: str | list[str], **options) -> di
 def convert_current(spark: SparkSession, dump: str | list[str], user: str = "importer") -> dict[str, DataFrame]:
     """Current-revision path from a dump; an empty text element counts as a text here."""
     revs = good_revisions(stage_dump(spark, dump)).where(F.col("rev_id").isNotNull())
-    return current_tables(
-        revs.withColumn("text", blank_if_null("text")).withColumn("page_namespace", F.coalesce("page_ns", F.lit(0))),
-        user,
-    )
+    return current_tables(revs.withColumn("page_namespace", F.coalesce("page_ns", F.lit(0))), user)

@@ -130,7 +130,7 @@ def _docs_titled(view: str, select: str) -> str:
 
 
 _COUNTS = """
-select 'page' as table_name, {page} as n_rows union all select 'revision', {revision}
+select 'page' as table_name, cast({page} as bigint) as n_rows union all select 'revision', {revision}
 union all select 'text', {text} union all select 'recentchanges', 0"""
 
 _FLAT = "parent_id, rev_timestamp, contributor_id, username, ip, minor, comment, model, format, sha1"

@@ -37,7 +37,7 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _headers(spark: SparkSession, sf: str) -> DataFrame:
-    return titles.resolve_namespace(titles.page_headers(seeds.revs(spark, sf)), seeds.nslist(spark))
+    return titles.resolve_namespace(titles.page_headers(_facts(spark, sf)), seeds.nslist(spark))
 
 
 def _page_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +99,8 @@ def explode_revisions(spark: SparkSession, sf: str) -> DataFrame:
     rows = dump.explode_revisions(dump.scan_dump(spark, _revs_dump(spark, sf)))
     return rows.select(
         "page_id", F.col("rev_seq").alias("rev_pos"), "title", "rev_id", "parent_id", "rev_timestamp",
-        "contributor_id", "username", "ip", "minor", "comment", "model", "format", "sha1", "text",
+        "contributor_id", "username", "ip", "minor", "comment", "model", "format", "sha1",
+        fc.empty_to_null("text").alias("text"),
     )
 
 
@@ -264,7 +265,7 @@ def build_recentchanges(spark: SparkSession, sf: str) -> DataFrame:
 def article_record(spark: SparkSession, sf: str) -> DataFrame:
     revs = seeds.docs_as_revisions(seeds.docs(spark, sf))
     facts = rv.revision_facts(revs)
-    page = tables.build_page(titles.resolve_namespace(titles.page_headers(revs), seeds.nslist(spark)), facts)
+    page = tables.build_page(titles.resolve_namespace(titles.page_headers(facts), seeds.nslist(spark)), facts)
     articles = corpus.article_lookup(page, tables.build_revision(facts), tables.build_text(revs))
     # DuckDB and Spark hash arrays differently; one string keeps order and repeats.
     return corpus.article_record(articles).withColumn("categories", F.array_join("categories", "|"))

@@ -93,7 +93,7 @@ def scan_namespaces(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .select(F.substring_index("value", SITEINFO_CLOSE, 1).alias("value"))
         .head(1)
     )
-    head = spark.createDataFrame([(r["value"],) for r in first], "value STRING")
+    head = spark.range(len(first)).select(F.lit(first[0]["value"] if first else None).cast("string").alias("value"))
     xml = F.concat(F.substr("value", F.instr("value", SITEINFO_OPEN)), F.lit(SITEINFO_CLOSE))
     site = head.select(F.from_xml(xml, SITEINFO_XML, XML_OPTIONS).alias("site"))
     return site.select(F.posexplode("site.namespaces.namespace").alias("ns_pos", "n")).where(

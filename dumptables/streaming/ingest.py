@@ -62,8 +62,7 @@ def current_of_page(pages: DataFrame) -> DataFrame:
         F.col("id").alias("page_id"), "title",
         F.coalesce("ns", F.lit(0)).alias("page_namespace"),
         last("id").alias("rev_id"), last("timestamp").alias("rev_timestamp"), last("sha1").alias("sha1"),
-        # An empty text element is a text, and the parser gives null for it: take the last revision's.
-        F.coalesce(F.try_element_at(F.transform("revision", lambda r: r["text"]), F.lit(-1)), F.lit("")).alias("text"),
+        last("text").alias("text"),
     )
 
 
