@@ -24,15 +24,20 @@ _LEAD5, _LEAD6 = "[\\xF8-\\xFB]", "[\\xFC-\\xFD]"
 
 # A sequence that needs more bytes than are left.
 _CUT_OFF = f"(?s)(?:{_LEAD2}|{_LEAD3}.?|{_LEAD4}.{{0,2}}|{_LEAD5}.{{0,3}}|{_LEAD6}.{{0,4}})\\z"
-# Complete sequences that are overlong or encode more than 21 bits.
+# Complete sequences that are overlong or encode more than 21 bits. The look ahead lets ASCII fail at once.
+_ANY_LEAD = "(?=[\\xC0-\\xFF])"
 _REDUNDANT = (
-    f"[\\xC0\\xC1]{_TAIL}|\\xE0[\\x80-\\x9F]{_TAIL}|\\xF0[\\x80-\\x8F]{_TAIL}{{2}}"
-    f"|{_LEAD5}{_TAIL}{{4}}|{_LEAD6}{_TAIL}{{5}}"
+    f"{_ANY_LEAD}(?:[\\xC0\\xC1]{_TAIL}|\\xE0[\\x80-\\x9F]{_TAIL}|\\xF0[\\x80-\\x8F]{_TAIL}{{2}}"
+    f"|{_LEAD5}{_TAIL}{{4}}|{_LEAD6}{_TAIL}{{5}})"
 )
-_BROKEN_LEAD = f"{_LEAD2}(?!{_TAIL})|{_LEAD3}(?!{_TAIL}{{2}})|{_LEAD4}(?!{_TAIL}{{3}})|[\\xF8-\\xFF]"
+_BROKEN_LEAD = (
+    f"{_ANY_LEAD}(?:{_LEAD2}(?!{_TAIL})|{_LEAD3}(?!{_TAIL}{{2}})|{_LEAD4}(?!{_TAIL}{{3}})|[\\xF8-\\xFF])"
+)
+# The byte class comes before the look back, so that only tail bytes pay for it.
 _STRAY_TAIL = (
-    f"(?<!{_LEAD2}|{_LEAD3}|{_LEAD3}{_TAIL}|{_LEAD4}|{_LEAD4}{_TAIL}|{_LEAD4}{_TAIL}{{2}}){_TAIL}"
+    f"{_TAIL}(?<!(?:{_LEAD2}|{_LEAD3}|{_LEAD3}{_TAIL}|{_LEAD4}|{_LEAD4}{_TAIL}|{_LEAD4}{_TAIL}{{2}}){_TAIL})"
 )
+_LONGEST_CUT = 5  # bytes that a cut-off sequence can have
 
 
 def sanitize_text(text: Column | str) -> Column:
@@ -42,9 +47,14 @@ def sanitize_text(text: Column | str) -> Column:
     """
     raw = _col(text)
     as_text = raw.cast("string")
-    latin = F.decode(raw.cast("binary"), "ISO-8859-1")
-    for pattern, by in ((_CUT_OFF, ""), (_REDUNDANT, "?"), (_BROKEN_LEAD, "?"), (_STRAY_TAIL, "?")):
-        latin = F.regexp_replace(latin, pattern, by)
+    data = raw.cast("binary")
+    cut = F.greatest(F.octet_length(data) - _LONGEST_CUT, F.lit(0))
+    body, end = F.substr(data, F.lit(1), cut), F.substr(data, cut + 1)
+    latin = F.concat(
+        F.decode(body, "ISO-8859-1"), F.regexp_replace(F.decode(end, "ISO-8859-1"), _CUT_OFF, "")
+    )
+    for pattern in (_REDUNDANT, _BROKEN_LEAD, _STRAY_TAIL):
+        latin = F.regexp_replace(latin, pattern, "?")
     repaired = F.encode(latin, "ISO-8859-1").cast("string")
     nul = F.char(F.lit(0))
     return F.when(F.is_valid_utf8(as_text), F.replace(as_text, nul, F.lit(""))).otherwise(

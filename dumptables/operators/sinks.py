@@ -62,7 +62,10 @@ def write_tsv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def _placed(df: DataFrame, line: Column, order: Sequence[str]) -> DataFrame:
-    """Rows as ``line`` with their global position ``idx``; ``is_last`` marks the very last one."""
+    """Rows as ``line`` with their global position ``idx``; ``is_last`` marks the very last one.
+
+    ``df`` is read three times (sample, keys, lines), so it should be a stored table.
+    """
     index = dense_index(df, order, order)
     total = index.count()  # counts the written keys, not the source
     rows = df.select(*order, line.alias("line")).join(index, list(order))

@@ -36,12 +36,15 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     return rv.revision_facts(seeds.revs(spark, sf))
 
 
-def _headers(spark: SparkSession, sf: str) -> DataFrame:
-    return titles.resolve_namespace(titles.page_headers(_facts(spark, sf)), seeds.nslist(spark))
+def _page_table(facts: DataFrame) -> DataFrame:
+    headers = titles.page_headers(facts)
+    return tables.build_page(titles.resolve_namespace(headers, seeds.nslist(facts.sparkSession)), facts)
 
 
-def _page_table(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.build_page(_headers(spark, sf), _facts(spark, sf))
+def _history_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    revs = seeds.revs(spark, sf)
+    facts = rv.revision_facts(revs)
+    return {"page": _page_table(facts), "revision": tables.build_revision(facts), "text": tables.build_text(revs)}
 
 
 def _doc_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,10 +143,7 @@ def quarantine_malformed(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def write_tables(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "tables")
-    facts = _facts(spark, sf)
-    sinks.write_tables(
-        {"page": _page_table(spark, sf), "revision": tables.build_revision(facts),
-         "text": tables.build_text(seeds.revs(spark, sf))}, path)
+    sinks.write_tables(_history_tables(spark, sf), path)
     page = spark.read.parquet(f"{path}/page")
     revision = spark.read.parquet(f"{path}/revision")
     text = spark.read.parquet(f"{path}/text")
@@ -160,7 +160,7 @@ def write_tsv(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def write_mysql_insert(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "insert")
-    sinks.write_mysql_insert(_doc_text(spark, sf), "text", path, ["old_id"])
+    sinks.write_mysql_insert(materialize(_doc_text(spark, sf), "text"), "text", path, ["old_id"])
     lines = spark.read.text(path).withColumnRenamed("value", "line")
     return lines.where(F.col("line").rlike("^(INSERT INTO `text` VALUES |,)\\("))
 
@@ -168,7 +168,8 @@ def write_mysql_insert(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def write_pg_copy(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "copy")
-    sinks.write_pg_copy(tables.build_revision(_facts(spark, sf), raw_timestamps=True), "revision", path, ["rev_id"])
+    revision = materialize(tables.build_revision(_facts(spark, sf), raw_timestamps=True), "revision")
+    sinks.write_pg_copy(revision, "revision", path, ["rev_id"])
     lines = spark.read.text(path).withColumnRenamed("value", "line")
     return lines.where(F.contains("line", F.lit("\t")))
 
@@ -184,10 +185,7 @@ def _database(spark: SparkSession, sf: str) -> str:
     name = f"dumptables_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_path(spark, 'database')}'")
     tables.create_tables(spark, name)
-    facts = _facts(spark, sf)
-    rows = {"page": _page_table(spark, sf), "revision": tables.build_revision(facts),
-            "text": tables.build_text(seeds.revs(spark, sf))}
-    for table, df in rows.items():
+    for table, df in _history_tables(spark, sf).items():
         df.write.insertInto(f"{name}.{table}")
     return name
 
@@ -228,7 +226,7 @@ def skip_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def build_page(spark: SparkSession, sf: str) -> DataFrame:
-    return _page_table(spark, sf)
+    return _page_table(_facts(spark, sf))
 
 
 @query
@@ -265,8 +263,7 @@ def build_recentchanges(spark: SparkSession, sf: str) -> DataFrame:
 def article_record(spark: SparkSession, sf: str) -> DataFrame:
     revs = seeds.docs_as_revisions(seeds.docs(spark, sf))
     facts = rv.revision_facts(revs)
-    page = tables.build_page(titles.resolve_namespace(titles.page_headers(facts), seeds.nslist(spark)), facts)
-    articles = corpus.article_lookup(page, tables.build_revision(facts), tables.build_text(revs))
+    articles = corpus.article_lookup(_page_table(facts), tables.build_revision(facts), tables.build_text(revs))
     # DuckDB and Spark hash arrays differently; one string keeps order and repeats.
     return corpus.article_record(articles).withColumn("categories", F.array_join("categories", "|"))
 
@@ -379,10 +376,8 @@ def compress_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def article_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    facts = _facts(spark, sf)
-    return corpus.article_lookup(
-        _page_table(spark, sf), tables.build_revision(facts), tables.build_text(seeds.revs(spark, sf))
-    )
+    made = _history_tables(spark, sf)
+    return corpus.article_lookup(made["page"], made["revision"], made["text"])
 
 
 @query
