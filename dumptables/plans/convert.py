@@ -14,7 +14,7 @@ from ..operators.titles import dedup_titles, drop_redirects, filter_namespaces,
 from ..schema import CORRUPT
 from ..session import materialize
 from ..sources.dump import explode_revisions, scan_dump, scan_namespaces
-from ..sources.history import scan_history, scan_texts
+from ..sources.history import history_facts, history_texts, stage_history
 
 
 def select_pages(headers: DataFrame, ns: DataFrame, namespaces: Sequence[str] | None = None) -> DataFrame:
@@ -109,10 +109,10 @@ def convert_dump(spark: SparkSession, dump: str | list[str], **options) -> dict[
 
 
 def convert_history(spark: SparkSession, dump: str | list[str], **options) -> dict[str, DataFrame]:
-    """History path from a full-history dump: facts are parsed and stored once, texts are read again for the text
-    table only, and no step holds a whole page."""
-    facts = materialize(scan_history(spark, dump), "facts").where(F.col("page_id").isNotNull())
-    return history_tables(facts, scan_namespaces(spark, dump), texts=scan_texts(spark, dump), **options)
+    """History path from a full-history dump: parsed once, and no step holds a whole page."""
+    staged = stage_history(spark, dump)
+    facts = materialize(history_facts(staged), "facts").where(F.col("page_id").isNotNull())
+    return history_tables(facts, scan_namespaces(spark, dump), texts=history_texts(staged), **options)
 
 
 def convert_current(spark: SparkSession, dump: str | list[str], user: str = "importer") -> dict[str, DataFrame]:

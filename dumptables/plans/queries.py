@@ -511,7 +511,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dedup_titles(spark: SparkSession, sf: str) -> DataFrame:
     files = _docs_dump(spark, sf)
     out = scratch_path(spark, "titles")
-    pages = ingest.stream_titles(ingest.stream_pages(spark, files[1], 1_000_000))
+    pages = ingest.stream_titles(spark, files[1], 1_000_000)
     writer = ingest.stream_dedup_titles(pages).writeStream.outputMode("update").foreachBatch(
         lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
     )

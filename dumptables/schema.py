@@ -16,6 +16,7 @@ REVISION_STRUCT = (
 PAGE_HEADER_XML = "title STRING, ns INT, id BIGINT, restrictions STRING, redirect STRUCT<_title: STRING>"
 CORRUPT = "_corrupt"
 PAGE_XML = f"{PAGE_HEADER_XML}, revision ARRAY<{REVISION_STRUCT}>, {CORRUPT} STRING"
+HEADER_XML = f"{PAGE_HEADER_XML}, {CORRUPT} STRING"  # pages without their revisions
 SITEINFO_XML = "namespaces STRUCT<namespace: ARRAY<STRUCT<_VALUE: STRING, _key: INT>>>"
 
 # Flat layout shared by every operator: one row per revision. (page_seq, rev_seq) is the document order;

@@ -8,25 +8,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import drop_tag_blocks
-from ..schema import CORRUPT, PAGE_XML, SITEINFO_XML
+from ..schema import CORRUPT, HEADER_XML, PAGE_XML, SITEINFO_XML
 
 PAGE_OPEN, PAGE_CLOSE = "<page>", "</page>"
 SITEINFO_OPEN, SITEINFO_CLOSE = "<siteinfo", "</siteinfo>"
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
-def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = ()) -> DataFrame:
-    """Parse text records that each hold one page, up to its closing tag (batch or streaming)."""
+def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = (), schema: str = PAGE_XML) -> DataFrame:
+    """Parse text records that each hold one page, up to its closing tag (batch or streaming).
+
+    Elements that are not in ``schema`` are skipped. The parse sits in a generator, through which the optimizer does
+    not push filters: in a projection, each filter on a page field would parse the page once more.
+    """
     start = F.instr("value", PAGE_OPEN)
     record: Column = F.concat(F.substr("value", start), F.lit(PAGE_CLOSE))
     for tag in drop_blocks:
         record = drop_tag_blocks(record, tag)
-    parsed = F.from_xml(record, PAGE_XML, XML_OPTIONS).alias("page")
     keep = [c for c in records.columns if c != "value"]
-    return records.where(start > 0).select(*keep, parsed).select(*keep, "page.*")
+    return records.where(start > 0).select(*keep, F.inline(F.array(F.from_xml(record, schema, XML_OPTIONS))))
 
 
-def scan_dump(spark: SparkSession, path: str | list[str], drop_blocks: Sequence[str] = ()) -> DataFrame:
+def scan_dump(
+    spark: SparkSession, path: str | list[str], drop_blocks: Sequence[str] = (), schema: str = PAGE_XML
+) -> DataFrame:
     """Pages with nested revisions, from plain or compressed (bz2, gz) dump files.
 
     The page's closing tag is the record separator, so one large file, bz2 included, is split over many tasks.
@@ -42,7 +47,12 @@ def scan_dump(spark: SparkSession, path: str | list[str], drop_blocks: Sequence[
         ).alias("page_seq"),
         "value",
     )
-    return parse_pages(placed, drop_blocks)
+    return parse_pages(placed, drop_blocks, schema)
+
+
+def scan_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Pages without revisions; the parser skips them."""
+    return scan_dump(spark, path, schema=HEADER_XML)
 
 
 def is_malformed() -> Column:

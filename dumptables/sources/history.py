@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import byte_length, empty_to_null, is_redirect, text_digest
 from ..schema import CORRUPT, PAGE_HEADER_XML, REVISION_XML
+from ..session import materialize
 from .dump import PAGE_CLOSE, PAGE_OPEN, XML_OPTIONS
 
 REVISION_OPEN, REVISION_CLOSE = "<revision>", "</revision>"
@@ -15,50 +16,35 @@ ROW_BITS = 33
 ROW_MASK = (1 << ROW_BITS) - 1
 
 
-def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.option("lineSep", REVISION_CLOSE).text(path)
+def stage_history(spark: SparkSession, path: str | list[str], with_text: bool = True) -> DataFrame:
+    """Parse a dump once and store its revisions as columns: place, page header if there is one, revision, text.
 
-
-def _revision():
-    xml = F.concat(F.substr("value", F.instr("value", REVISION_OPEN)), F.lit(REVISION_CLOSE))
-    return F.from_xml(xml, f"{REVISION_XML}, {CORRUPT} STRING", XML_OPTIONS)
-
-
-def scan_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(rev_id, text) of every revision; needs no page context, so it is a scan and nothing more."""
-    rows = _records(spark, path).where(F.instr("value", REVISION_OPEN) > 0).select(_revision().alias("r"))
-    return rows.where(F.col("r.id").isNotNull()).select(F.col("r.id").alias("rev_id"), F.col("r.text").alias("text"))
-
-
-def scan_history(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Revision facts in the flat layout, with digest and length in place of the text.
-
-    The closing tag of a revision is the record separator, so a page may be larger than any row or split. A record
-    has the page header only if it is the page's first, so headers are carried forward: inside a split by a window
-    over that split's narrow rows, and over split borders by a window with one row per split. Both have a bounded size.
+    The closing tag of a revision is the record separator, so a page may be larger than any row or split. A scan and
+    nothing more; the page of a revision without header is found by :func:`history_facts`.
     """
     has_revision = F.instr("value", REVISION_OPEN) > 0
     # What stands before the revision: the end of the page before, and headers. The last header without a closing tag
     # is this revision's page; closed ones are pages without revisions.
     before = F.when(has_revision, F.substring_index("value", REVISION_OPEN, 1)).otherwise(F.col("value"))
     parts = F.split(before, PAGE_OPEN, -1)
-    headers = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    r = _revision()
-    rows = _records(spark, path).select(
+    xml = F.concat(F.substr("value", F.instr("value", REVISION_OPEN)), F.lit(REVISION_CLOSE))
+    revision = F.from_xml(xml, f"{REVISION_XML}, {CORRUPT} STRING", XML_OPTIONS)
+    rows = spark.read.option("lineSep", REVISION_CLOSE).text(path).select(
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK)).alias("row"),
-        headers.alias("headers"),
-        F.when(has_revision, r).alias("r"),
+        has_revision.alias("has_revision"),
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("headers"),
+        F.when(has_revision, revision).alias("r"),
     )
     text = empty_to_null("r.text")
-    narrow = rows.where((F.size("headers") > 0) | F.col("r").isNotNull()).select(
-        "file", "block", "row", "headers",
-        F.col("r").isNotNull().alias("has_revision"),
+    narrow = rows.where((F.size("headers") > 0) | F.col("has_revision")).select(
+        "file", "block", "row", "headers", "has_revision",
         F.col("r").dropFields("text").alias("r"),
         text_digest("r.text").alias("digest"),
         F.when(text.isNotNull(), byte_length("r.text")).alias("text_bytes"),
         is_redirect(text).cast("int").alias("text_redirect"),
+        *([F.col("r.text").alias("text")] if with_text else []),
     )
     # One output row per header, and one for the revision.
     closed = F.transform(
@@ -68,6 +54,7 @@ def scan_history(spark: SparkSession, path: str | list[str]) -> DataFrame:
     opened = F.try_element_at(F.filter("headers", lambda h: ~F.contains(h, F.lit(PAGE_CLOSE))), F.lit(-1))
     own = F.when(F.col("has_revision"), F.array(F.struct(opened.alias("header"), F.lit(True).alias("revision"))))
     entries = F.concat(closed, F.coalesce(own, F.array().cast("array<struct<header:string,revision:boolean>>")))
+    stored = ["digest", "text_bytes", "text_redirect", *(["text"] if with_text else [])]
     narrow = narrow.select("*", F.posexplode(entries).alias("part", "entry"))
     header_xml = F.concat(
         F.lit(PAGE_OPEN), F.substring_index("entry.header", PAGE_CLOSE, 1), F.lit(PAGE_CLOSE)
@@ -76,15 +63,29 @@ def scan_history(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "file", "block", "row", "part",
         F.when(F.col("entry.header").isNotNull(), F.from_xml(header_xml, PAGE_HEADER_XML, XML_OPTIONS)).alias("h"),
         F.when(F.col("entry.revision"), F.col("r")).alias("r"),
-        *[F.when(F.col("entry.revision"), F.col(c)).alias(c) for c in ("digest", "text_bytes", "text_redirect")],
+        *[F.when(F.col("entry.revision"), F.col(c)).alias(c) for c in stored],
     )
     page = F.when(F.col("h").isNotNull(), F.struct(
         F.col("h.id").alias("page_id"), F.col("h.title").alias("title"), F.col("h.ns").alias("page_ns"),
         F.col("h.restrictions").alias("restrictions"), F.col("h.redirect._title").alias("redirect_title"),
         F.struct("file", "block", "row", "part").alias("page_seq"),
     ))
-    narrow = narrow.withColumn("page", page).drop("h")
+    return materialize(narrow.withColumn("page", page).drop("h"), "history")
 
+
+def history_texts(staged: DataFrame) -> DataFrame:
+    """(rev_id, text) of every revision; needs no page context."""
+    return staged.where(F.col("r.id").isNotNull()).select(F.col("r.id").alias("rev_id"), "text")
+
+
+def history_facts(staged: DataFrame) -> DataFrame:
+    """Revision facts in the flat layout.
+
+    A row has the page header only if it is the page's first, so headers are carried forward: inside a split by a
+    window over that split's narrow rows, and over split borders by a window with one row per split. Both have a
+    bounded size, however many revisions a page has.
+    """
+    narrow = staged.drop("text")
     split = ["file", "block"]
     so_far = W.partitionBy(*split).orderBy("row", "part").rowsBetween(W.unboundedPreceding, 0)
     inside = narrow.withColumn("page", F.last("page", ignorenulls=True).over(so_far))
@@ -109,3 +110,8 @@ def scan_history(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "page.redirect_title", "page.page_ns", "page.restrictions", "digest", "text_bytes", "text_redirect",
         F.col(f"r.{CORRUPT}").alias("malformed"),
     )
+
+
+def scan_history(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Revision facts of a full-history dump, with digest and length in place of the text."""
+    return history_facts(stage_history(spark, path, with_text=False))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import normalize_title
 from ..operators.tables import build_page_current, build_recentchanges, build_revision_current, build_text_current
-from ..schema import CORRUPT
+from ..schema import CORRUPT, HEADER_XML, PAGE_XML
 from ..sources.dump import PAGE_CLOSE, is_malformed, parse_pages
 
 TABLE_BUILDERS = {
@@ -22,21 +22,25 @@ TABLE_BUILDERS = {
 }
 
 
-def stream_pages(spark: SparkSession, path: str, max_files_per_trigger: int = 8) -> DataFrame:
+def stream_pages(
+    spark: SparkSession, path: str, max_files_per_trigger: int = 8, schema: str = PAGE_XML
+) -> DataFrame:
     """Parsed pages of the dump files that arrive in ``path``; the file count bounds a batch."""
     records = (
         spark.readStream.option("lineSep", PAGE_CLOSE).option("maxFilesPerTrigger", max_files_per_trigger).text(path)
     )
-    return parse_pages(records.select(
+    placed = records.select(
         F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
-    ))
+    )
+    return parse_pages(placed, schema=schema)
 
 
-def stream_titles(pages: DataFrame) -> DataFrame:
+def stream_titles(spark: SparkSession, path: str, max_files_per_trigger: int = 8) -> DataFrame:
     """(page_id, page_seq, full_title) of well-formed pages, numbered in document order.
 
     A stream has no row numbers, so tasks count the rows they read; only these narrow columns pass through Python.
     """
+    pages = stream_pages(spark, path, max_files_per_trigger, HEADER_XML)
     narrow = good_pages(pages).select("file", "block", F.col("id").alias("page_id"),
                                       normalize_title("title").alias("full_title"))
 

@@ -158,5 +158,5 @@ def test_splits_and_files_do_not_matter(spark, tmp_path, conf):
         pages = dump.quarantine_malformed(dump.scan_dump(spark, files))[0]
         flat = convert.revision_facts(dump.explode_revisions(pages))
         assert sorted(map(tuple, flat.select(*columns).collect())) == expected
-        assert history.scan_texts(spark, files).count() == 3000
+        assert history.history_texts(history.stage_history(spark, files)).count() == 3000
     assert dump.scan_dump(spark, files).rdd.getNumPartitions() > 20
