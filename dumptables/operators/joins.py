@@ -14,9 +14,13 @@ HOT_SPREAD = 4096
 SMALL_ROWS = 10_000
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to the planner."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def checked_broadcast(df: DataFrame, source: DataFrame | None = None, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting; a larger side is left to the planner.
+
+    ``source`` is counted in place of ``df`` if ``df`` is made from it and cannot have more than a few rows for each.
+    """
+    counted = df if source is None else source
+    return F.broadcast(df) if counted.limit(max_rows + 1).count() <= max_rows else df
 
 
 def lookup(
@@ -40,7 +44,10 @@ def lookup(
     is_hot = F.col(n_rows) >= hot_rows
     hot = table.where(is_hot).select(*on, packed.alias("_hot"))
     # -1 is a salt no row asks for. A constant salt would be folded away and be no part of the shuffle key.
-    cold = table.select(*on, F.when(is_hot, F.lit(-1)).otherwise(F.lit(0)).alias("_salt"), packed.alias("_cold"))
+    # The filter keeps every row; it holds both sides to the same aggregate, whose shuffle is then made only once.
+    cold = table.where(F.col(n_rows) >= 0).select(
+        *on, F.when(is_hot, F.lit(-1)).otherwise(F.lit(0)).alias("_salt"), packed.alias("_cold")
+    )
     salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
         (F.pmod(F.xxhash64(*spread_by), F.lit(HOT_SPREAD)) + 1).cast("int")
     )

@@ -43,7 +43,7 @@ def resolve_namespace(pages: DataFrame, ns: DataFrame) -> DataFrame:
     prefixed = pages.withColumn("full_title", full).withColumn(
         "ns_prefix", F.when(F.contains("full_title", F.lit(":")), F.substring_index("full_title", ":", 1))
     )
-    found = prefixed.join(checked_broadcast(namespace_names(ns)), "ns_prefix", "left")
+    found = prefixed.join(checked_broadcast(namespace_names(ns), ns), "ns_prefix", "left")
     rest = F.substr("full_title", F.char_length("ns_prefix") + 2)
     return found.select(
         *pages.columns,
@@ -84,7 +84,7 @@ def _chosen(ns: DataFrame, tokens: Sequence[str]) -> DataFrame:
     known = ns.select("ns_pos", "ns_id", F.explode(keys).alias("_key"))
     return (
         wanted.withColumn("_key", key)
-        .join(checked_broadcast(known), "_key", "left")
+        .join(checked_broadcast(known, ns), "_key", "left")
         .groupBy("token")
         .agg(F.min_by("ns_id", "ns_pos").alias("ns_id"))
     )
@@ -94,7 +94,8 @@ def filter_namespaces(pages: DataFrame, ns: DataFrame, tokens: Sequence[str]) ->
     """Keep pages of the chosen namespaces; a token is a number or a name (any case)."""
     chosen = _chosen(ns, tokens).where(F.col("ns_id").isNotNull())
     wanted = chosen.select(F.col("ns_id").cast("int").alias("page_namespace")).distinct()
-    return pages.join(checked_broadcast(wanted), "page_namespace", "left_semi").select(*pages.columns)
+    # No more rows than tokens given.
+    return pages.join(F.broadcast(wanted), "page_namespace", "left_semi").select(*pages.columns)
 
 
 def unmatched_namespaces(ns: DataFrame, tokens: Sequence[str]) -> DataFrame:

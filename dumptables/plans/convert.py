@@ -66,13 +66,12 @@ def history_tables(
             )
     if renumber:
         page_map, rev_map = ids.renumber(pages, facts)
-        facts = ids.remap_ids(facts, page_map, rev_map)
+        facts = materialize(ids.remap_ids(facts, page_map, rev_map), "renumbered")
         pages = ids.remap_headers(pages, page_map)
         if with_text:
             out["text"] = ids.remap_text_ids(out["text"], rev_map)
-    facts = dedup_texts(facts)
     out["page"] = tables.build_page(pages, facts, raw_timestamps)
-    out["revision"] = tables.build_revision(facts, raw_timestamps)
+    out["revision"] = tables.build_revision(dedup_texts(facts), raw_timestamps)
     if with_text and compress != "none":
         latest = tables.latest_text_ids(out["page"], out["revision"]) if compress == "old" else None
         out["text"] = tables.compress_text(out["text"], compress, latest)
@@ -81,7 +80,7 @@ def history_tables(
 
 def current_tables(revs: DataFrame, user: str = "importer") -> dict[str, DataFrame]:
     """The four tables of the current-revision path; ``revs`` needs page_namespace and redirect_title."""
-    current = current_revision(drop_redirects(revs))
+    current = materialize(current_revision(drop_redirects(revs)), "current")  # one pass for four tables
     return {
         "page": tables.build_page_current(current),
         "revision": tables.build_revision_current(current, user),

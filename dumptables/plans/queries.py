@@ -502,7 +502,7 @@ def convert_current(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     files = _docs_dump(spark, sf, "bzip2")
     out = scratch_path(spark, "stream")
-    pages = ingest.stream_pages(spark, files[1], 2)
+    pages = ingest.stream_pages(spark, files[1], 4)
     ingest.stream_ingest(pages, out, f"{out}-checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/recentchanges").drop("batch")
 

@@ -46,17 +46,20 @@ NSLIST_SQL = """
 select * from (values (0,-1,'Special'),(1,0,cast(null as string)),(2,1,'Talk'),(3,3,'User talk')) t(ns_pos,ns_id,ns_name)
 """
 
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+DOCUMENTS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+
 BLOCK_TAG = "DiscussionThreading"
 
 
 def revs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per revision, from the events table."""
-    return spark.sql(REVS_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spark.sql(REVS_SQL, events=spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page, from the documents table."""
-    return spark.sql(DOCS_SQL, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spark.sql(DOCS_SQL, documents=spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet"))
 
 
 def nslist(spark: SparkSession) -> DataFrame:

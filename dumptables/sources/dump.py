@@ -82,6 +82,12 @@ def explode_revisions(pages: DataFrame) -> DataFrame:
     )
 
 
+def quarantine_revisions(revs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, revisions without an id) of the flat layout; a page without revisions counts as good."""
+    bad = F.col("rev_seq").isNotNull() & F.col("rev_id").isNull()
+    return revs.where(~bad), revs.where(bad)
+
+
 def dump_headers(pages: DataFrame) -> DataFrame:
     """Page fields without revisions."""
     return pages.select(

@@ -46,6 +46,16 @@ def test_revisions(spark, path):
     assert rows[110].redirect_title == "Main page"
 
 
+def test_a_revision_without_id_is_set_aside(spark, tmp_path):
+    file = tmp_path / "d.xml"
+    file.write_text("<mediawiki><page><title>A</title><id>1</id><revision><text>lost</text></revision><revision><id>5"
+                    "</id><text>kept</text></revision></page><page><title>B</title><id>2</id></page></mediawiki>")
+    ok, bad = dump.quarantine_revisions(dump.explode_revisions(good(spark, str(file))))
+    assert sorted((r.page_id, r.rev_id, r.text) for r in ok.collect() if r.rev_id) == [(1, 5, "kept")]
+    assert ok.count() == 2
+    assert [r.text for r in bad.collect()] == ["lost"]
+
+
 def test_namespaces(spark, path):
     rows = dump.scan_namespaces(spark, path).orderBy("ns_pos").collect()
     assert [(r.ns_pos, r.ns_id, r.ns_name) for r in rows] == [
