@@ -45,8 +45,9 @@ def history_tables(
         facts = revs.drop("text")
     else:
         facts = materialize(revision_facts(revs), "facts")
-    headers = page_headers(facts)
-    pages = select_pages(headers, ns, namespaces)
+    # Both have one narrow row per page, and each is used more than once.
+    headers = materialize(page_headers(facts), "headers")
+    pages = materialize(select_pages(headers, ns, namespaces), "pages")
     # Few pages are dropped as a rule. Stored, their real size is known, and the planner broadcasts them if they are
     # small and shuffles them if not.
     dropped = materialize(headers.join(pages, "page_id", "left_anti").select("page_id"), "dropped")
@@ -73,7 +74,10 @@ def history_tables(
     out["page"] = tables.build_page(pages, facts, raw_timestamps)
     out["revision"] = tables.build_revision(dedup_texts(facts), raw_timestamps)
     if with_text and compress != "none":
-        latest = tables.latest_text_ids(out["page"], out["revision"]) if compress == "old" else None
+        latest = None
+        if compress == "old":
+            out["page"], out["revision"] = (materialize(out[t], t) for t in ("page", "revision"))
+            latest = tables.latest_text_ids(out["page"], out["revision"])
         out["text"] = tables.compress_text(out["text"], compress, latest)
     return out
 

@@ -35,13 +35,13 @@ def scan_dump(
     """Pages with nested revisions, from plain or compressed (bz2, gz) dump files.
 
     The page's closing tag is the record separator, so one large file, bz2 included, is split over many tasks.
-    ``page_seq`` is the document order: file, split, row. One page is one row; for full histories, whose pages can
+    ``page_seq`` is the document order: file (by path), split, row. One page is one row; for full histories, whose pages can
     outgrow a row, use :func:`~dumptables.sources.history.scan_history`.
     """
     records = spark.read.option("lineSep", PAGE_CLOSE).text(path)
     placed = records.select(
         F.struct(
-            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ).alias("page_seq"),

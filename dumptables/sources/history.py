@@ -30,7 +30,7 @@ def stage_history(spark: SparkSession, path: str | list[str], with_text: bool =
     xml = F.concat(F.substr("value", F.instr("value", REVISION_OPEN)), F.lit(REVISION_CLOSE))
     revision = F.from_xml(xml, f"{REVISION_XML}, {CORRUPT} STRING", XML_OPTIONS)
     rows = spark.read.option("lineSep", REVISION_CLOSE).text(path).select(
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK)).alias("row"),
         has_revision.alias("has_revision"),
@@ -68,7 +68,7 @@ def stage_history(spark: SparkSession, path: str | list[str], with_text: bool =
     page = F.when(F.col("h").isNotNull(), F.struct(
         F.col("h.id").alias("page_id"), F.col("h.title").alias("title"), F.col("h.ns").alias("page_ns"),
         F.col("h.restrictions").alias("restrictions"), F.col("h.redirect._title").alias("redirect_title"),
-        F.struct("file", "block", "row", "part").alias("page_seq"),
+        "row", "part",
     ))
     return materialize(narrow.withColumn("page", page).drop("h"), "history")
 
@@ -92,22 +92,28 @@ def history_facts(staged: DataFrame) -> DataFrame:
     ends = narrow.groupBy(*split).agg(
         F.expr("max_by(page, struct(row, part)) FILTER (WHERE page IS NOT NULL)").alias("last_page")
     )
-    splits_before = W.partitionBy("file").orderBy("block")
-    carried = ends.select(
-        *split,
-        F.last("last_page", ignorenulls=True).over(splits_before.rowsBetween(W.unboundedPreceding, -1)).alias("carry"),
-        (F.row_number().over(splits_before) - 1).cast("bigint").alias("split_no"),
-    )
-    placed = inside.join(carried, split).withColumn("page", F.coalesce("page", "carry"))
+    # From here to the join there is one row per split.
+    numbered = ends.select(*split, "last_page", (F.row_number().over(W.orderBy(*split)) - 1).alias("split_no"))
+    last = F.when(F.col("last_page").isNotNull(), F.struct("split_no", F.col("last_page").alias("page")))
+    splits_before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = numbered.select(*split, "split_no", F.last(last, ignorenulls=True).over(splits_before).alias("carry"))
+    own = F.when(F.col("page").isNotNull(), F.struct("split_no", "page"))
+    placed = inside.join(carried, split).withColumn("head", F.coalesce(own, "carry"))
+
+    def position(split_no: str, row: str):
+        return F.shiftleft(F.col(split_no).cast("bigint"), ROW_BITS).bitwiseOR(F.col(row))
+
+    page = "head.page"
     return placed.select(
-        "page.page_id", "page.page_seq",
-        F.shiftleft("split_no", ROW_BITS).bitwiseOR(F.col("row")).alias("rev_seq"),
-        "page.title", F.col("r.id").alias("rev_id"), F.col("r.parentid").alias("parent_id"),
+        f"{page}.page_id",
+        F.struct(position("head.split_no", f"{page}.row").alias("position"), f"{page}.part").alias("page_seq"),
+        position("split_no", "row").alias("rev_seq"),
+        f"{page}.title", F.col("r.id").alias("rev_id"), F.col("r.parentid").alias("parent_id"),
         F.col("r.timestamp").alias("rev_timestamp"), F.col("r.contributor.id").alias("contributor_id"),
         F.col("r.contributor.username").alias("username"), F.col("r.contributor.ip").alias("ip"),
         F.col("r.minor").isNotNull().alias("minor"), F.col("r.comment").alias("comment"),
         F.col("r.model").alias("model"), F.col("r.format").alias("format"), F.col("r.sha1").alias("sha1"),
-        "page.redirect_title", "page.page_ns", "page.restrictions", "digest", "text_bytes", "text_redirect",
+        f"{page}.redirect_title", f"{page}.page_ns", f"{page}.restrictions", "digest", "text_bytes", "text_redirect",
         F.col(f"r.{CORRUPT}").alias("malformed"),
     )
 

@@ -30,7 +30,7 @@ def stream_pages(
         spark.readStream.option("lineSep", PAGE_CLOSE).option("maxFilesPerTrigger", max_files_per_trigger).text(path)
     )
     placed = records.select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
     return parse_pages(placed, schema=schema)
 

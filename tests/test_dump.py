@@ -1,4 +1,5 @@
 import bz2
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,53 @@ def test_revisions(spark, path):
     assert rows[110].redirect_title == "Main page"
 
 
+ODD = """<mediawiki><page>
+ <title>A &quot;q&quot; &amp; B</title><ns>0</ns><id>1</id><restrictions>a</restrictions><restrictions>b</restrictions>
+ <revision><id>11</id><timestamp>2020-01-01T00:00:00Z</timestamp><contributor deleted="deleted" />
+  <comment deleted="deleted" /><origin>11</origin><model>wikitext</model><format>text/x-wiki</format>
+  <text bytes="12" sha1="abc" xml:space="preserve">&lt;page&gt; &lt;/revision&gt; &#233;&#x1F600;]]&gt;</text></revision>
+ <revision><id>12</id><contributor><ip>::1</ip></contributor><minor/><text bytes="0" deleted="deleted" /></revision>
+ <upload><timestamp>x</timestamp><contributor><username>u</username><id>5</id></contributor></upload>
+ <discussionthreadinginfo><id>99</id></discussionthreadinginfo>
+</page><page><title>Next</title><id>2</id><revision><id>21</id><text>  </text></revision></page></mediawiki>
+"""
+
+
+def test_elements_outside_the_schema(spark, tmp_path):
+    file = tmp_path / "odd.xml"
+    file.write_text(ODD, encoding="utf-8")
+    ok, bad = dump.quarantine_malformed(dump.scan_dump(spark, str(file)))
+    rows = {r.rev_id: r for r in dump.explode_revisions(ok).collect()}
+    assert sorted(rows) == [11, 12, 21] and bad.count() == 0
+    assert (rows[11].title, rows[11].text, rows[11].username, rows[11].restrictions) == (
+        'A "q" & B', "<page> </revision> é😀]]>", None, "b")
+    assert (rows[12].text, rows[12].ip, rows[12].minor) == ("", "::1", True)
+    assert rows[21].text == "  "
+    facts = {r.rev_id: r for r in history.scan_history(spark, str(file)).collect()}
+    assert {i: (r.page_id, r.ip, r.minor) for i, r in facts.items()} == {
+        11: (1, None, False), 12: (1, "::1", True), 21: (2, None, False)}
+    assert (facts[11].text_bytes, facts[12].text_bytes, facts[12].digest) == (28, None, "")
+
+
+def test_one_bz2_file_is_split(spark, tmp_path, conf):
+    rng = random.Random(1)
+    pages = "".join(
+        f"<page><title>P{i}</title><id>{i}</id>" + "".join(
+            f"<revision><id>{i * 10 + j}</id><text>{rng.getrandbits(8000):x}</text></revision>" for j in range(3)
+        ) + "</page>\n" for i in range(1, 600))
+    file = tmp_path / "big.xml.bz2"
+    file.write_bytes(bz2.compress(f"<mediawiki>{pages}</mediawiki>".encode()))
+    conf("spark.sql.files.maxPartitionBytes", "300KB")
+    scanned = dump.scan_dump(spark, str(file))
+    assert scanned.rdd.getNumPartitions() > 2
+    assert scanned.select("page_seq.block").distinct().count() > 1
+    assert [r.id for r in scanned.orderBy("page_seq").select("id").collect()] == list(range(1, 600))
+    facts = history.scan_history(spark, str(file))
+    assert {(r.page_id, r.rev_id) for r in facts.collect()} == {(i, i * 10 + j) for i in range(1, 600) for j in range(3)}
+    listed = [r.rev_id for r in facts.orderBy("page_seq", "rev_seq").select("rev_id").collect()]
+    assert listed == sorted(listed)
+
+
 def test_a_revision_without_id_is_set_aside(spark, tmp_path):
     file = tmp_path / "d.xml"
     file.write_text("<mediawiki><page><title>A</title><id>1</id><revision><text>lost</text></revision><revision><id>5"
