@@ -206,7 +206,7 @@ def test_splits_and_files_do_not_matter(spark, tmp_path, conf):
     conf("spark.sql.shuffle.partitions", "4")
     files = seeds.dump_files(out)
     expected = sorted(map(tuple, convert.revision_facts(revs).select(*columns).collect()))
-    for size in ("128MB", "64KB", "3KB"):
+    for size in ("128MB", "11KB"):
         conf("spark.sql.files.maxPartitionBytes", size)
         rows = history.scan_history(spark, files)
         got = rows.where(F.col("rev_id").isNotNull())
