@@ -26,6 +26,25 @@ def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "error") -
         df.write.mode(mode).parquet(f"{path}/{name}")
 
 
+# Join keys of the tables in an article lookup.
+BUCKET_KEYS = {"page": "page_latest", "revision": "rev_id", "text": "old_id"}
+
+
+def save_tables(tables: dict[str, DataFrame], database: str, buckets: int | None = None, mode: str = "error") -> None:
+    """Each table as a catalog table; with ``buckets``, laid out by the keys that an article lookup joins on.
+
+    Texts are then shuffled once, here, and never again by a lookup: page and revision meet bucket by bucket, and only
+    ids travel to the buckets of the text table. Rows are sent to their bucket first, so that a bucket is one file.
+    """
+    for name, df in tables.items():
+        key = BUCKET_KEYS.get(name)
+        if buckets and key:
+            writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+        else:
+            writer = df.write
+        writer.format("parquet").mode(mode).saveAsTable(f"{database}.{name}")
+
+
 def _field(field: T.StructField, quotes: bool) -> Column:
     """One value as export text; null stays null."""
     c = F.col(f"`{field.name}`")

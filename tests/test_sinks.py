@@ -51,6 +51,23 @@ def test_copy_files(spark, stored, tmp_path):
     assert "\n3\tit's \"x\"\\n\\\\3\t\\N\n" in text
 
 
+def test_bucketed_tables_keep_texts_in_place(spark, conf, tmp_path):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}/bucketed'")
+    ids = spark.range(100)
+    page = ids.select(F.col("id").alias("page_id"), (F.col("id") + 1000).alias("page_latest"))
+    revision = ids.select((F.col("id") + 1000).alias("rev_id"), (F.col("id") + 2000).alias("rev_text_id"))
+    text = ids.select((F.col("id") + 2000).alias("old_id"), F.concat(F.lit("t"), "id").alias("old_text"))
+    sinks.save_tables({"page": page, "revision": revision, "text": text}, "bucketed", buckets=4)
+    found = corpus.article_lookup(*[spark.table(f"bucketed.{t}") for t in ("page", "revision", "text")])
+    assert {(r.page_id, r.article) for r in found.collect()} == {(i, f"t{i}") for i in range(100)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the ids on their way to the texts
+    assert "Exchange" not in plan[plan.index("old_id"):].split("FileScan", 1)[1]
+    spark.sql("DROP DATABASE bucketed CASCADE")
+
+
 def test_tsv_reads_back(spark, stored, tmp_path):
     sinks.write_tsv(stored, str(tmp_path / "tsv"))
     fields = [line.split("\t") for part in read(tmp_path / "tsv") for line in part.splitlines()]
