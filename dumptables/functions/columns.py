@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 CATEGORY_PATTERN = r"\[\[Category:([a-zA-Z0-9_\s\-]+)\]\]"
 REDIRECT_WORD = "#REDIRECT"
 LINK_OPEN = "[["
+CATEGORY_OPEN = "[[Category:"
 
 
 def _col(c: Column | str) -> Column:
@@ -92,7 +93,5 @@ def drop_tag_blocks(text: Column | str, tag: str) -> Column:
 
 
 def text_lines(text: Column | str) -> Column:
-    """Lines of a text in which every line ends in a line break."""
-    c = _col(text)
-    body = F.substr(c, F.lit(1), F.char_length(c) - 1)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+    """Lines of a text in which every line ends in a line break. Reads ``text`` once, which may be costly to make."""
+    return F.regexp_extract_all(_col(text), F.lit("([^\n]*)\n"), 1)

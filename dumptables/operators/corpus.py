@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import extract_categories
+from ..functions.columns import CATEGORY_OPEN, extract_categories
 from .ids import dense_index
 
 ARTICLES_PER_FILE = 10_000
@@ -31,13 +31,18 @@ def corpus_rows(pages: DataFrame) -> DataFrame:
     """(category, ordinal, article): one row for each distinct category of a page.
 
     The ordinal counts all pages in document order, from 0. Only page keys are sorted; text is joined by page id, and
-    only for pages that have a category.
+    only for pages that can have a category. A plain search picks those: a filter on the categories themselves would
+    be pushed down and extract them twice.
     """
     ordinals = dense_index(pages, ["page_id"], ["page_seq"], "ordinal")
-    tagged = pages.select(
+    tagged = pages.where(F.contains("text", F.lit(CATEGORY_OPEN))).select(
         "page_id", F.col("text").alias("article"), F.array_distinct(extract_categories("text")).alias("categories")
-    ).where(F.size("categories") > 0)
-    return tagged.join(ordinals, "page_id").select(F.explode("categories").alias("category"), "ordinal", "article")
+    )
+    # An inner explode would have the same effect: it filters its input for arrays that are not empty.
+    rows = tagged.join(ordinals, "page_id").select(
+        F.explode_outer("categories").alias("category"), "ordinal", "article"
+    )
+    return rows.where(F.col("category").isNotNull())
 
 
 def category_counts(pages: DataFrame) -> DataFrame:

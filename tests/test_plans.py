@@ -4,6 +4,9 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from dumptables.functions import columns as fc
 from dumptables.operators import corpus, ids, tables, titles
 from dumptables.operators import revisions as rv
 from dumptables.plans import seeds
@@ -23,6 +26,14 @@ def revs(spark, conf):
     return seeds.revs(spark, SF)
 
 
+def test_costly_expressions_are_made_once(spark, revs):
+    docs = seeds.docs(spark, SF)
+    assert plan(corpus.corpus_rows(docs)).count("regexp_extract_all(") == 1
+    assert plan(corpus.category_counts(docs)).count("regexp_extract_all(") == 1
+    kept = fc.text_lines(fc.drop_tag_blocks("text", "T"))
+    assert plan(docs.select(F.posexplode(kept))).count("regexp_replace(") == 1
+
+
 def test_windows_run_over_bounded_groups(revs):
     """The running maximum is taken per run; only one row per run is grouped by page."""
     text = plan(rv.latest_revision(rv.revision_facts(revs)))
