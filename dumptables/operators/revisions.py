@@ -45,7 +45,8 @@ def latest_revision(facts: DataFrame, run_bits: int = RUN_BITS) -> DataFrame:
 
     In document order a revision becomes the latest when its timestamp is strictly greater than all before it;
     length and redirect flag change only if that revision has text. The running maximum is taken in two levels, within
-    runs of bounded size and then over one row per run, so a page is never gathered in one task.
+    runs of bounded size and then over one row per run, so a page is never gathered in one task. ``rev_seq`` should
+    be close to a count, as the scans make it: the fewer positions a run skips, the fewer runs there are.
     """
     ts = F.coalesce("rev_timestamp", F.lit(""))
     rows = facts.select(
