@@ -11,11 +11,15 @@ from pyspark.sql import types as T
 from ..functions.text import escape_bytes, escape_value, sanitize_text
 from .ids import dense_index
 
-# Fixed values of the export formats.
+# Fixed values of the export formats, with the lines that stand before and after a section.
 ROWS_PER_INSERT = 256
 JDBC_BATCH = 10_000
 NULL_TSV = "\\N"
 NULL_SQL = "NULL"
+INSERT_HEADER = "/*!40000 ALTER TABLE `{table}` DISABLE KEYS */;\nLOCK TABLES `{table}` WRITE;"
+INSERT_FOOTER = "UNLOCK TABLES;\n/*!40000 ALTER TABLE `{table}` ENABLE KEYS */;\n"
+COPY_HEADER = 'COPY "{table}" FROM STDIN;'
+COPY_FOOTER = "\\.\n"
 
 ROWS_PER_FILE = ROWS_PER_INSERT * 1024
 
@@ -137,10 +141,9 @@ def write_mysql_insert(
     df: DataFrame, table: str, path: str, order: Sequence[str], rows_per_file: int = ROWS_PER_FILE, mode: str = "error"
 ) -> None:
     """INSERT scripts with locked table and disabled keys; ``rows_per_file`` must be a multiple of 256."""
-    header = f"/*!40000 ALTER TABLE `{table}` DISABLE KEYS */;\nLOCK TABLES `{table}` WRITE;"
-    footer = f"UNLOCK TABLES;\n/*!40000 ALTER TABLE `{table}` ENABLE KEYS */;\n"
     if rows_per_file % ROWS_PER_INSERT:
         raise ValueError(f"rows_per_file must be a multiple of {ROWS_PER_INSERT}")
+    header, footer = INSERT_HEADER.format(table=table), INSERT_FOOTER.format(table=table)
     _write_sections(mysql_insert_lines(df, table, order), header, footer, path, rows_per_file, mode)
 
 
@@ -148,9 +151,8 @@ def write_pg_copy(
     df: DataFrame, table: str, path: str, order: Sequence[str], rows_per_file: int = ROWS_PER_FILE, mode: str = "error"
 ) -> None:
     """COPY scripts; build the tables with ``raw_timestamps=True`` for this format."""
-    _write_sections(
-        pg_copy_lines(df, order), f'COPY "{table}" FROM STDIN;', "\\.\n", path, rows_per_file, mode
-    )
+    header = COPY_HEADER.format(table=table)
+    _write_sections(pg_copy_lines(df, order), header, COPY_FOOTER, path, rows_per_file, mode)
 
 
 def write_jdbc(

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import blank_if_null, byte_length, char_count, empty_to_null, page_random, text_digest
-from ..functions.columns import timestamp_digits, user_id, user_text
+from ..functions.columns import (
+    blank_if_null,
+    char_count,
+    empty_to_null,
+    page_random,
+    text_digest,
+    timestamp_digits,
+    user_id,
+    user_text,
+)
 from ..functions.text import COMPRESS_MIN_BYTES, COMPRESSED_FLAG, deflate
 from ..schema import TABLES
 from .revisions import dedup_texts, latest_revision, single_text_pages
@@ -23,7 +31,10 @@ def _stamp(column: str, raw: bool):
 
 
 def build_page(headers: DataFrame, facts: DataFrame, raw_timestamps: bool = False) -> DataFrame:
-    """13-column page table. ``headers`` needs page_id, page_namespace, page_title and may have restrictions and is_new."""
+    """13-column page table.
+
+    ``headers`` needs page_id, page_namespace and page_title, and may have restrictions and is_new.
+    """
     rollup = latest_revision(facts)
     if "is_new" not in headers.columns:
         rollup = rollup.join(single_text_pages(facts), "page_id")

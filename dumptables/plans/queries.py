@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -191,14 +192,13 @@ def _database(spark: SparkSession, sf: str) -> str:
 
 
 def _table_counts(spark: SparkSession, database: str) -> DataFrame:
-    counts = [
-        spark.table(f"{database}.{t}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
-        for t in tables.TABLES
-    ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return _row_counts({t: spark.table(f"{database}.{t}") for t in tables.TABLES})
+
+
+def _row_counts(made: dict[str, DataFrame]) -> DataFrame:
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+              for t, df in made.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query
@@ -215,10 +215,7 @@ def truncate_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def skip_text(spark: SparkSession, sf: str) -> DataFrame:
-    made = convert.history_tables(seeds.revs(spark, sf), seeds.nslist(spark), with_text=False)
-    out = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
-           for t, df in made.items()]
-    return out[0].unionByName(out[1])
+    return _row_counts(convert.history_tables(seeds.revs(spark, sf), seeds.nslist(spark), with_text=False))
 
 
 # --- tables -----------------------------------------------------------------------------------------------------

@@ -43,7 +43,8 @@ from {documents}
 """
 
 NSLIST_SQL = """
-select * from (values (0,-1,'Special'),(1,0,cast(null as string)),(2,1,'Talk'),(3,3,'User talk')) t(ns_pos,ns_id,ns_name)
+select * from (values (0,-1,'Special'),(1,0,cast(null as string)),(2,1,'Talk'),(3,3,'User talk'))
+  t(ns_pos,ns_id,ns_name)
 """
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -67,7 +68,7 @@ def nslist(spark: SparkSession) -> DataFrame:
 
 
 def tagged_docs(pages: DataFrame) -> DataFrame:
-    """Even pages get an open tag in every eleventh line from the fourth, and a close tag in every one from the seventh."""
+    """In even pages every eleventh line, from the fourth, is an open tag, and from the seventh a close tag."""
     lines = F.split("text", "\n", -1)
     marked = F.transform(
         lines,

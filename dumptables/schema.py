@@ -1,4 +1,7 @@
-"""Column layouts of the dump and of the tables made from it."""
+"""Column layouts of the dump and of the tables made from it.
+
+Element names, column names and their order are fixed values of the formats.
+"""
 
 from __future__ import annotations
 

@@ -26,7 +26,8 @@ def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = (), schema: str
     for tag in drop_blocks:
         record = drop_tag_blocks(record, tag)
     keep = [c for c in records.columns if c != "value"]
-    return records.where(start > 0).select(*keep, F.inline(F.array(F.from_xml(record, schema, XML_OPTIONS))))
+    page = F.from_xml(record, schema, XML_OPTIONS)
+    return records.where(start > 0).select(*keep, F.inline(F.array(page)))
 
 
 def scan_dump(

@@ -50,7 +50,9 @@ def stream_titles(spark: SparkSession, path: str, max_files_per_trigger: int = 8
             yield frame.assign(row=range(done, done + len(frame)))
             done += len(frame)
 
-    numbered = narrow.mapInPandas(count_rows, "file STRING, block BIGINT, page_id BIGINT, full_title STRING, row BIGINT")
+    numbered = narrow.mapInPandas(
+        count_rows, "file STRING, block BIGINT, page_id BIGINT, full_title STRING, row BIGINT"
+    )
     return numbered.select("page_id", F.struct("file", "block", "row").alias("page_seq"), "full_title")
 
 
