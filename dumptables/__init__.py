@@ -5,11 +5,14 @@ Subpackages: ``sources`` reads dumps, ``functions`` holds column rules, ``operat
 """
 
 from .plans.convert import (
+    bad_pages,
     convert_current,
     convert_dump,
     convert_history,
     current_tables,
+    good_revisions,
     history_tables,
+    stage_dump,
 )
 from .session import build_session
 from .sources.dump import (
@@ -24,7 +27,7 @@ from .sources.dump import (
 from .sources.history import scan_history
 
 __all__ = [
-    "build_session", "convert_current", "convert_dump", "convert_history", "current_tables", "dump_headers",
-    "explode_revisions", "history_tables", "quarantine_malformed", "quarantine_revisions", "scan_dump",
-    "scan_headers", "scan_history", "scan_namespaces",
+    "bad_pages", "build_session", "convert_current", "convert_dump", "convert_history", "current_tables",
+    "dump_headers", "explode_revisions", "good_revisions", "history_tables", "quarantine_malformed",
+    "quarantine_revisions", "scan_dump", "scan_headers", "scan_history", "scan_namespaces", "stage_dump",
 ]

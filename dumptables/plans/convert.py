@@ -100,13 +100,25 @@ def stage_dump(spark: SparkSession, dump: str | list[str], name: str = "revision
     return materialize(facts.withColumnRenamed("_text", "text"), name)
 
 
+def _is_good():
+    return F.col(CORRUPT).isNull() & F.col("page_id").isNotNull() & F.col("title").isNotNull()
+
+
 def good_revisions(staged: DataFrame) -> DataFrame:
-    good = F.col(CORRUPT).isNull() & F.col("page_id").isNotNull() & F.col("title").isNotNull()
-    return staged.where(good).drop(CORRUPT)
+    return staged.where(_is_good()).drop(CORRUPT)
+
+
+def bad_pages(staged: DataFrame) -> DataFrame:
+    """What a conversion leaves out: pages that are not well formed, with their text, or lack id or title."""
+    first = F.coalesce("rev_seq", F.lit(0)) == 0  # one row a page
+    return staged.where(~_is_good() & first).select("page_id", "title", CORRUPT)
 
 
 def convert_dump(spark: SparkSession, dump: str | list[str], **options) -> dict[str, DataFrame]:
-    """History path from a dump whose pages fit a row."""
+    """History path from a dump whose pages fit a row.
+
+    To look at malformed pages too, call :func:`stage_dump` and hand its good and bad rows on by yourself.
+    """
     staged = stage_dump(spark, dump)
     return history_tables(good_revisions(staged), scan_namespaces(spark, dump), **options)
 

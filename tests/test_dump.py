@@ -178,6 +178,13 @@ def test_history_options(spark, path):
     assert "text" not in convert.convert_dump(spark, path, with_text=False)
 
 
+def test_staged_rows_part_in_good_and_bad(spark, path):
+    staged = convert.stage_dump(spark, path)
+    assert {r.page_id for r in convert.good_revisions(staged).select("page_id").collect()} == set(GOOD_IDS)
+    bad = [r._corrupt for r in convert.bad_pages(staged).collect()]
+    assert len(bad) == 2 and any("x16" in b for b in bad)
+
+
 def test_current_tables(spark, path):
     made = convert.convert_current(spark, path)
     page = {r.page_id: r for r in made["page"].collect()}
