@@ -124,9 +124,13 @@ def convert_dump(spark: SparkSession, dump: str | list[str], **options) -> dict[
 
 
 def convert_history(spark: SparkSession, dump: str | list[str], **options) -> dict[str, DataFrame]:
-    """History path from a full-history dump: parsed once, and no step holds a whole page."""
+    """History path from a full-history dump: parsed once, and no step holds a whole page.
+
+    Only a malformed revision is left out, not its page; revisions of a page without id are left out with it.
+    """
     staged = stage_history(spark, dump)
-    facts = materialize(history_facts(staged), "facts").where(F.col("page_id").isNotNull())
+    facts = materialize(history_facts(staged), "facts").where(F.col("malformed").isNull())
+    facts = facts.where(F.col("page_id").isNotNull() & F.col("title").isNotNull()).drop("malformed")
     return history_tables(facts, scan_namespaces(spark, dump), texts=history_texts(staged), **options)
 
 

@@ -146,9 +146,7 @@ def history_result(made):
 
 
 @pytest.mark.parametrize("how", ["dump", "history"])
-def test_history_tables(spark, path, tmp_path, how):
-    if how == "history":  # a cut-off page has a header, so its rows are no fault of the revision scan
-        path = fx.write(tmp_path / "whole.xml")
+def test_history_tables(spark, path, how):
     made = (convert.convert_dump if how == "dump" else convert.convert_history)(spark, path)
     page, revision, text = history_result(made)
     assert sorted(page) == [10, 11, 13, 14, 15, 17]
@@ -178,6 +176,17 @@ def test_history_options(spark, path):
     assert "text" not in convert.convert_dump(spark, path, with_text=False)
 
 
+def test_one_bad_revision_does_not_take_its_page_along(spark, tmp_path):
+    file = tmp_path / "d.xml"
+    file.write_text("<mediawiki><page><title>A</title><id>1</id><revision><id>5</id><text>kept</text></revision>"
+                    "<revision><id>x6</id><text>bad</text></revision><revision><id>7</id><text>kept too</text>"
+                    "</revision></page></mediawiki>")
+    page, revision, text = history_result(convert.convert_history(spark, str(file)))
+    assert sorted(page) == [1] and sorted(revision) == sorted(text) == [5, 7]
+    bad = history.scan_history(spark, str(file)).where("malformed IS NOT NULL").collect()
+    assert [(r.page_id, "x6" in r.malformed) for r in bad] == [(1, True)]
+
+
 def test_staged_rows_part_in_good_and_bad(spark, path):
     staged = convert.stage_dump(spark, path)
     assert {r.page_id for r in convert.good_revisions(staged).select("page_id").collect()} == set(GOOD_IDS)
