@@ -34,10 +34,15 @@ def first_texts(facts: DataFrame) -> DataFrame:
 
 
 def dedup_texts(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``rev_text_id``: equal texts of a page share the id of their first revision."""
-    return lookup(
-        facts, first_texts(facts), ["page_id", "digest"], ["rev_text_id"], "n_uses", ["rev_seq"], "inner", hot_rows
+    """Add ``rev_text_id``: equal texts of a page share the id of their first revision.
+
+    Only repeated texts are looked up; most texts occur once, and their text id is the revision's own.
+    """
+    repeated = first_texts(facts).where(F.col("n_uses") > 1)
+    rows = lookup(
+        facts, repeated, ["page_id", "digest"], ["rev_text_id"], "n_uses", ["rev_seq"], "left", hot_rows
     )
+    return rows.withColumn("rev_text_id", F.coalesce("rev_text_id", "rev_id"))
 
 
 def latest_revision(facts: DataFrame, run_bits: int = RUN_BITS) -> DataFrame:
