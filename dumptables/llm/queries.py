@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .counts import count_tokens
+from .langid import identify_languages
 from .packing import pack_documents
 from .topk import exact_topk, whole_vectors
+from .toxicity import score_toxicity, train_toxicity
 from .urlfilter import filter_urls
 
 #: Fixed values of the url query: (host, path, verdict).
@@ -35,6 +37,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of every document."""
     return count_tokens(table(spark, sf_dir, "documents"))
@@ -44,6 +57,8 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_url_filter": op2_url_filter,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
