@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .topk import exact_topk, whole_vectors
 from .toxicity import score_toxicity, train_toxicity
 from .urlfilter import filter_urls
+from .winnow import edited_likeness
 
 #: Fixed values of the url query: (host, path, verdict).
 URL_RULES = (
@@ -32,6 +33,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"))
@@ -56,6 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_url_filter": op2_url_filter,
+    "op3_winnowing": op3_winnowing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op9_language_id": op9_language_id,
