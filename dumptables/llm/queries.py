@@ -9,6 +9,7 @@ from .common import table
 from .counts import count_tokens
 from .langid import identify_languages
 from .packing import pack_documents
+from .sampling import sample_digests
 from .topk import exact_topk, whole_vectors
 from .toxicity import score_toxicity, train_toxicity
 from .urlfilter import filter_urls
@@ -49,6 +50,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of every document, as digests, decoded again."""
+    return sample_digests(table(spark, sf_dir, "documents"), 2)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the documents that are not held out."""
     return identify_languages(table(spark, sf_dir, "documents"))
@@ -65,6 +71,7 @@ QUERIES = {
     "op3_winnowing": op3_winnowing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
