@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .counts import count_tokens
 from .langid import identify_languages
+from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .sampling import sample_digests
 from .topk import exact_topk, whole_vectors
@@ -44,6 +45,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +76,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_winnowing": op3_winnowing,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_ngram_join": op5_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_language_id": op9_language_id,
