@@ -11,6 +11,7 @@ from .langid import identify_languages
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .sampling import sample_digests
+from .suffix import repeated_passages
 from .topk import exact_topk, whole_vectors
 from .toxicity import score_toxicity, train_toxicity
 from .urlfilter import filter_urls
@@ -50,6 +51,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur more than once, in all documents."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -77,6 +83,7 @@ QUERIES = {
     "op3_winnowing": op3_winnowing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_join": op5_ngram_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_language_id": op9_language_id,

@@ -53,7 +53,7 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def _window_minima(values: np.ndarray, window: int) -> np.ndarray:
+def window_minima(values: np.ndarray, window: int) -> np.ndarray:
     """Smallest value of every window, by doubling."""
     out, width = values, 1
     while 2 * width <= window:
@@ -85,7 +85,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
         # The place counts down in the low half, so the rightmost of equal hashes is the smallest.
         down = np.uint64(0xFFFFFFFF) - np.arange(len(grams), dtype=np.uint64)
         keys = (grams & np.uint64(0xFFFFFFFF00000000)) | down
-        chosen = np.unique(np.uint64(0xFFFFFFFF) - (_window_minima(keys, window) & np.uint64(0xFFFFFFFF)))
+        chosen = np.unique(np.uint64(0xFFFFFFFF) - (window_minima(keys, window) & np.uint64(0xFFFFFFFF)))
         at = chosen.astype(np.int64)
         places.append(at + begin)
         found.append(grams[at])
@@ -230,4 +230,4 @@ def guarantee(k: int = K, window: int = WINDOW) -> int:
     return k + window - 1
 
 
-__all__ = ["edited", "edited_likeness", "fingerprint", "gram_hashes", "guarantee", "likeness", "winnow", "with_next"]
+__all__ = ["edited", "edited_likeness", "fingerprint", "gram_hashes", "guarantee", "likeness", "window_minima", "winnow", "with_next"]
