@@ -35,6 +35,17 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterab
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """Rows of ``df`` that pass a test in Python, all columns kept and nothing shuffled; ``start`` runs once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = start()
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null becomes the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

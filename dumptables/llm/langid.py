@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, crc_of, letter_words, longs, map_batches, slices, store, texts
+from .common import SLICE_CHARS, crc_of, filter_batches, letter_words, longs, map_batches, slices, store, texts
 
 UNKNOWN = "und"
 #: Bounds of the model that is sent to every task: what does not fit is left to shorter n-grams.
@@ -122,6 +122,48 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def predictor(known: LanguageModel) -> Callable[[list[str]], tuple[list[str], list[float]]]:
+    """(languages, scores) of texts. Unseen words are remembered with their n-grams' evidence; a full memory is emptied."""
+    n_known = len(known.words)
+    # A slice has fewer words than SLICE_CHARS, so it always finds room.
+    table = np.zeros((n_known + HELD_WORDS + SLICE_CHARS, len(known.langs)))
+    if n_known:
+        table[:n_known] = known.word_logs
+    place = dict(known.words)
+
+    def learn(word: bytes) -> int:
+        place[word] = at = len(place)
+        table[at] = known.backoff(word.decode("utf-8", "replace"))
+        return at
+
+    def one(text: str) -> tuple[str, float]:
+        nonlocal place
+        if not known.langs or not _has_letter(text):
+            return UNKNOWN, 0.0
+        total, n = known.prior.copy(), 0
+        for part in slices(text):
+            words = letter_words(part)
+            if len(place) + len(words) > len(table):
+                place = dict(known.words)
+            at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+            for miss in np.flatnonzero(at < 0).tolist():
+                found = place.get(words[miss])
+                at[miss] = learn(words[miss]) if found is None else found
+            total += table[at].sum(axis=0)
+            n += len(words)
+        share = total / max(1.0, n) ** 0.5
+        share = np.exp(share - share.max())
+        share /= share.sum()
+        best = int(np.argmax(share))
+        return known.langs[best], float(share[best])
+
+    def predict(found: list[str]) -> tuple[list[str], list[float]]:
+        pairs = [one(text) for text in found]
+        return [lang for lang, _ in pairs], [score for _, score in pairs]
+
+    return predict
+
+
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row, from its whole text alone.
 
@@ -133,57 +175,38 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]):
-        known = sent.value
-        n_known = len(known.words)
-        # A slice has fewer words than SLICE_CHARS, so it always finds room.
-        table = np.zeros((n_known + HELD_WORDS + SLICE_CHARS, len(known.langs)))
-        if n_known:
-            table[:n_known] = known.word_logs
-        place = dict(known.words)
-
-        def learn(word: bytes) -> int:
-            place[word] = at = len(place)
-            table[at] = known.backoff(word.decode("utf-8", "replace"))
-            return at
-
+        predict = predictor(sent.value)
         for batch in batches:
-            langs, scores = [], []
-            for text in texts(batch):
-                if not known.langs or not _has_letter(text):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total, n = known.prior.copy(), 0
-                for part in slices(text):
-                    words = letter_words(part)
-                    if len(place) + len(words) > len(table):
-                        place = dict(known.words)
-                    at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                    for miss in np.flatnonzero(at < 0).tolist():
-                        found = place.get(words[miss])
-                        at[miss] = learn(words[miss]) if found is None else found
-                    total += table[at].sum(axis=0)
-                    n += len(words)
-                share = total / max(1.0, n) ** 0.5
-                share = np.exp(share - share.max())
-                share /= share.sum()
-                best = int(np.argmax(share))
-                langs.append(known.langs[best])
-                scores.append(float(share[best]))
+            langs, scores = predict(texts(batch))
             yield {"id": longs(batch, "id"), "lang_pred": langs, "score": scores}
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(narrow, work, "id bigint, lang_pred string, score double")
 
 
+def drop_unknown(docs: DataFrame, model: LanguageModel, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Documents in a language the model knows, with at least this score, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        predict = predictor(sent.value)
+        return lambda batch: [lang != UNKNOWN and score >= least_score for lang, score in zip(*predict(texts(batch, text_col)))]
+
+    return filter_batches(docs, start)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose crc32 is a multiple of 5 are never learnt from; a row without an id neither."""
     return F.coalesce(F.pmod(crc_of(id_col), F.lit(5)) == 0, F.lit(True))
 
 
-def identify_languages(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """Learn from the documents that are not held out and name a language, and predict it for all."""
+def learn_languages(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
+    """Learn from the documents that are not held out and name a language."""
     rows = docs.where(~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    model = train_language_model(rows, max_words, max_grams)
-    found = predict_language(docs, model)
+    return train_language_model(rows, max_words, max_grams)
+
+
+def identify_languages(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score): learn from the documents that are not held out, and predict for all."""
+    found = predict_language(docs, learn_languages(docs, max_words, max_grams))
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")

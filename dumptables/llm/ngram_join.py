@@ -335,3 +335,17 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, tolerance: floa
     out = found.join(ids.select(F.col("node").alias("a"), F.col("copy_id").alias("x")), "a").join(
         ids.select(F.col("node").alias("b"), F.col("copy_id").alias("y")), "b")
     return out.select(F.least("x", "y").alias("copy_a"), F.greatest("x", "y").alias("copy_b"))
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One document of each class of ``near_duplicates`` with all its columns: the one with the smallest id.
+
+    Rows that repeat both id and text are one document. Rows without an id stay.
+    """
+    found = store(near_duplicates(docs, **options).select("doc_id", "class_id"), "classes")
+    gone = store(found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "gone")
+    again = store(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull())
+                  .select("doc_id"), "again")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(twice).select(*docs.columns)

@@ -252,7 +252,8 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with passages cut that repeat earlier ones; the first occurrence of each passage stays.
 
-    All columns stay; a document of which nothing is left keeps its row with an empty text.
+    All columns stay, and ``n_chars``, where there is one, counts what is left. A document of which nothing is left
+    keeps its row with an empty text.
     """
     spans = repeated_passages(docs, id_col, text_col).where("cut").groupBy("doc_id").agg(
         F.collect_list(F.struct("start_word", "n_words")).alias("_spans")).select(F.col("doc_id").alias("_id"), "_spans")
@@ -271,4 +272,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     joined = docs.join(spans, docs[id_col].cast("bigint") == F.col("_id"), "left")
     text = cut(docs[text_col].cast("string"), "_spans")
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    joined = joined.withColumn("_text", text)
+    count = F.when(F.col("_spans").isNotNull(), F.length("_text")).otherwise(docs["n_chars"]) if "n_chars" in docs.columns else None
+    new = {text_col: F.col("_text"), "n_chars": count}
+    return joined.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else docs[c] for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, longs, map_batches, slices, texts
+from .common import crc_of, filter_batches, longs, map_batches, slices, texts
 
 #: Labelled rows that the model is fitted on: those with the smallest hash of the id. The only bound on the input.
 MAX_LABELLED = 40_000
@@ -242,6 +242,23 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     return ToxicityModel(patterns, fit_linear(hits, dense, targets, len(patterns)))
 
 
+def scorer(model: ToxicityModel | None) -> Callable[[list[str]], list[float]]:
+    """Scores of texts, 0 to 1; all 0 without a model."""
+    finder = PatternFinder(model.patterns if model else [])
+
+    def score(found: list[str]) -> list[float]:
+        if model is None:
+            return [0.0] * len(found)
+        scores = []
+        for text in found:
+            words = words_of(text)
+            hits, n = finder.hits(words)
+            scores.append(float(model.score(hits, _dense(n, len(words), len(_LOUD.findall(text))))))
+        return scores
+
+    return score
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row, from its whole text alone.
 
@@ -250,20 +267,22 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, threshold: floa
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]):
-        fitted = sent.value
-        finder = PatternFinder(fitted.patterns if fitted else [])
+        score = scorer(sent.value)
         for batch in batches:
-            scores = []
-            for text in texts(batch):
-                if fitted is None:
-                    scores.append(0.0)
-                    continue
-                words = words_of(text)
-                hits, n = finder.hits(words)
-                scores.append(float(fitted.score(hits, _dense(n, len(words), len(_LOUD.findall(text))))))
-            yield {"doc_id": longs(batch, "id"), "score": scores}
+            yield {"doc_id": longs(batch, "id"), "score": score(texts(batch))}
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     return map_batches(narrow, work, "doc_id bigint, score double").select(
         "doc_id", held_out().alias("held_out"), "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Documents whose score is below the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        score = scorer(sent.value)
+        return lambda batch: [s < threshold for s in score(texts(batch, text_col))]
+
+    return filter_batches(docs, start)
