@@ -162,6 +162,8 @@ class Lattice:
         self.log = np.minimum(weight[order] + beta[self.to] - beta[self.from_], 0.0)
         self.total = np.cumsum(np.exp(self.log))
         self.first = np.r_[0, np.cumsum(np.bincount(self.from_, minlength=len(beta)))]
+        self.before = np.r_[0.0, self.total][self.first]  # mass of all edges before each node's
+        self.inside = np.r_[self.place, 0][self.first]
         with np.errstate(divide="ignore"):
             self.others = np.log(np.maximum(-np.expm1(self.log), 0.0))  # log mass of the other edges
         self.others[(self.first[1:] - self.first[:-1])[self.from_] == 1] = -np.inf
@@ -169,8 +171,12 @@ class Lattice:
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node."""
         low, high = self.first[node], self.first[node + 1] - 1
-        before = np.where(low > 0, self.total[low - 1], 0.0)
-        return np.clip(np.searchsorted(self.total, before + u * (self.total[high] - before), side="right"), low, high)
+        edge = low.copy()
+        many = np.flatnonzero(high > low)  # most characters inside a word have one way on
+        before = self.before[node[many]]
+        found = np.searchsorted(self.total, before + u[many] * (self.before[node[many] + 1] - before), side="right")
+        edge[many] = np.clip(found, low[many], high[many])
+        return edge
 
 
 @dataclass
@@ -189,14 +195,19 @@ class _Path:
 
 
 def _units(text: str) -> list[str]:
-    """Words with the spaces before them; a space is put in front of the text. No piece crosses their borders."""
+    """Words with the spaces before them, but for the first of these. A space is put in front of the text, and no piece
+    crosses a word's border."""
+    units = text.split(" ")
+    if "" not in units:
+        return units
     out, spaces = [], ""
-    for part in text.split(" "):
-        spaces += " "
+    for part in units:
         if part:
             out.append(spaces + part)
             spaces = ""
-    return [*out, spaces] if spaces else out
+        else:
+            spaces += " "
+    return [*out, spaces[1:]] if spaces else out
 
 
 def _below(log: np.ndarray | float, top: np.ndarray | float, u: np.ndarray | float):
@@ -221,8 +232,7 @@ class Sampler:
         depth = 0
         while len(live):
             now = node[live]
-            inside = lattice.place[lattice.first[now]]
-            edge = lattice.draw(now, _mixed(_keys(seeds[live], stream, places[live] + inside)))
+            edge = lattice.draw(now, _mixed(_keys(seeds[live], stream, places[live] + lattice.inside[now])))
             where.append(live)
             edges.append(edge)
             node[live] = lattice.to[edge]
@@ -244,10 +254,16 @@ class Sampler:
     def batch(self, keys: list[int], documents: list[str]) -> Iterator[tuple[int, list[tuple[np.ndarray, float, float]]]]:
         """For each text in order: (its place, [(ids, log probability, inclusion score)])."""
         place_of: dict[str, int] = {}
-        unit_lists = [_units(t) for t in documents]
-        counts = np.fromiter(map(len, unit_lists), np.int64, len(unit_lists))
-        words = np.array([place_of.setdefault(u, len(place_of)) for us in unit_lists for u in us], np.int64)
-        lattice = Lattice(self.pieces, list(place_of))
+        listed: list[int] = []
+        counts = np.zeros(len(documents), np.int64)
+        for n, text in enumerate(documents):
+            units = _units(text)
+            counts[n] = len(units)
+            for unit in dict.fromkeys(units):
+                place_of.setdefault(unit, len(place_of))
+            listed.extend(map(place_of.__getitem__, units))
+        words = np.array(listed, np.int64)
+        lattice = Lattice(self.pieces, [" " + u for u in place_of])
         sizes = (lattice.end_node - lattice.start_node)[words]
         offset = np.cumsum(counts) - counts
         chars = np.cumsum(sizes) - sizes
