@@ -256,7 +256,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keeps its row with an empty text.
     """
     spans = repeated_passages(docs, id_col, text_col).where("cut").groupBy("doc_id").agg(
-        F.collect_list(F.struct("start_word", "n_words")).alias("_spans")).select(F.col("doc_id").alias("_id"), "_spans")
+        F.collect_list(F.struct("start_word", "n_words")).alias("__spans")).select(F.col("doc_id").alias("__id"), "__spans")
 
     @F.udf("string", useArrow=True)
     def cut(text, spans):
@@ -270,9 +270,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 merged.append([first, first + n])
         return cut_words(text or "", [tuple(m) for m in merged])
 
-    joined = docs.join(spans, docs[id_col].cast("bigint") == F.col("_id"), "left")
-    text = cut(docs[text_col].cast("string"), "_spans")
-    joined = joined.withColumn("_text", text)
-    count = F.when(F.col("_spans").isNotNull(), F.length("_text")).otherwise(docs["n_chars"]) if "n_chars" in docs.columns else None
-    new = {text_col: F.col("_text"), "n_chars": count}
+    joined = docs.join(spans, docs[id_col].cast("bigint") == F.col("__id"), "left")
+    text = cut(docs[text_col].cast("string"), "__spans")
+    joined = joined.withColumn("__text", text)
+    count = F.when(F.col("__spans").isNotNull(), F.length("__text")).otherwise(docs["n_chars"]) if "n_chars" in docs.columns else None
+    new = {text_col: F.col("__text"), "n_chars": count}
     return joined.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else docs[c] for c in docs.columns])
