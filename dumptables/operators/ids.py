@@ -78,8 +78,9 @@ def remap_headers(headers: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def order_main_ids(pages: DataFrame) -> DataFrame:
-    """Ids of main-namespace pages in ascending order."""
-    return pages.where(F.col("page_namespace") == 0).select("page_id").orderBy("page_id")
+    """Ids of main-namespace pages in ascending order, with their rank from 0."""
+    main = pages.where(F.col("page_namespace") == 0)
+    return dense_index(main, ["page_id"], ["page_id"], "rank")
 
 
 def batch_ids(pages: DataFrame, batch_size: int = 1000) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import byte_length, empty_to_null, is_redirect, text_digest
+from ..schema import CORRUPT
 from .joins import HOT_ROWS, lookup
 
 # Revisions of one page are walked in runs of 2^RUN_BITS positions. rev_seq is unique within a page, so a run never
@@ -126,3 +129,23 @@ def current_revision(revs: DataFrame) -> DataFrame:
             F.expr(f"max_by({c}, rev_seq) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in CURRENT_FIELDS]
     header = [F.first(c).alias(c) for c in ("title", "page_namespace", "redirect_title") if c in revs.columns]
     return revs.groupBy("page_id").agg(F.min("page_seq").alias("page_seq"), *header, *last)
+
+
+def current_of_page(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Current revision of each nested page: per field the last value present. No shuffle, so it also streams.
+
+    Redirects, malformed pages, revisions without id, and pages without any revision that has one are left out.
+    """
+    given = F.filter("revision", lambda r: r["id"].isNotNull())
+
+    def last(field: str):
+        values = F.transform("_given", lambda r: r[field])
+        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+
+    good = pages.where(F.col(CORRUPT).isNull() & F.col("id").isNotNull() & F.col("title").isNotNull() & F.col("redirect").isNull())
+    return good.withColumn("_given", given).where(F.size("_given") > 0).select(
+        F.col("id").alias("page_id"), "title", *keep,
+        F.coalesce("ns", F.lit(0)).alias("page_namespace"),
+        last("id").alias("rev_id"), last("timestamp").alias("rev_timestamp"), last("sha1").alias("sha1"),
+        last("text").alias("text"),
+    )

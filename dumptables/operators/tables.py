@@ -81,13 +81,14 @@ def build_revision(facts: DataFrame, raw_timestamps: bool = False) -> DataFrame:
 def build_text(revs: DataFrame) -> DataFrame:
     """3-column text table: one row per distinct text of a page, under the id of its first revision.
 
-    Equal digests mean equal texts, so any text of the group will do; copies are removed before the shuffle.
+    Equal digests mean equal texts. Which row is first is found on narrow rows; then texts join it by their place, so
+    they are neither sorted nor gathered by page.
     """
-    rows = revs.select("page_id", "rev_id", "rev_seq", "text", text_digest("text").alias("digest"))
-    return rows.groupBy("page_id", "digest").agg(
-        F.min_by("rev_id", "rev_seq").alias("old_id"), F.first("text").alias("old_text")
-    ).select(
-        F.col("old_id").cast("bigint").alias("old_id"), blank_if_null("old_text").alias("old_text"),
+    digest = text_digest("text").alias("digest")
+    firsts = revs.select("page_id", "rev_seq", digest).groupBy("page_id", "digest").agg(F.min("rev_seq").alias("rev_seq"))
+    rows = revs.select("page_id", "rev_seq", "rev_id", "text")
+    return rows.join(firsts.select("page_id", "rev_seq").hint("shuffle_hash"), ["page_id", "rev_seq"]).select(
+        F.col("rev_id").cast("bigint").alias("old_id"), blank_if_null("text").alias("old_text"),
         F.lit("").alias("old_flags"),
     )
 
@@ -95,8 +96,8 @@ def build_text(revs: DataFrame) -> DataFrame:
 def compress_text(text: DataFrame, policy: str = "old", latest: DataFrame | None = None) -> DataFrame:
     """Compress ``old_text`` (then BINARY) by policy: "none", "old" or "full".
 
-    "old" leaves the texts plain whose ids are in ``latest`` (column old_id, unique). Texts below the threshold stay
-    plain under either policy.
+    "old" leaves the texts plain whose ids are in ``latest`` (column old_id, unique), or that are marked in a column
+    ``is_latest``, which costs no join. Texts below the threshold stay plain under either policy.
     """
     if policy not in ("none", "old", "full"):
         raise ValueError(f"unknown compression policy {policy!r}")
@@ -105,6 +106,8 @@ def compress_text(text: DataFrame, policy: str = "old", latest: DataFrame | None
     large = F.octet_length("old_text") >= COMPRESS_MIN_BYTES
     if policy == "full":
         rows = text.withColumn("_pack", large)
+    elif "is_latest" in text.columns:
+        rows = text.withColumn("_pack", large & ~F.col("is_latest"))
     else:
         if latest is None:
             raise ValueError('policy "old" needs the ids of the latest texts')

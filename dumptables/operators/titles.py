@@ -13,12 +13,15 @@ from .revisions import single_text
 
 
 def page_headers(revs: DataFrame) -> DataFrame:
-    """One row per page from the flat revision layout, with its revision count and, from facts, ``is_new``."""
+    """One row per page element from the flat revision layout, with its revision count and, from facts, ``is_new``.
+
+    An element is one place in the dump (``page_seq``); a dump that was restarted can hold a page in two of them.
+    """
     extra = [F.first(c).alias(c) for c in ("restrictions", "redirect_title", "page_ns") if c in revs.columns]
     if "digest" in revs.columns:
         extra.append(single_text().alias("is_new"))
-    return revs.groupBy("page_id").agg(
-        F.min("page_seq").alias("page_seq"),
+    return revs.groupBy("page_seq").agg(
+        F.first("page_id").alias("page_id"),
         F.first("title").alias("title"),
         *extra,
         F.count("rev_id").alias("n_revisions"),
@@ -58,9 +61,21 @@ def dedup_titles(pages: DataFrame) -> DataFrame:
 
     An aggregate, not a window: map-side combine leaves one row per title and task, however often a title occurs.
     """
-    rest = [c for c in pages.columns if c != "full_title"]
-    first = pages.groupBy("full_title").agg(F.min_by(F.struct(*rest), "page_seq").alias("_first"))
-    return first.select(*[F.col("full_title") if c == "full_title" else F.col(f"_first.{c}") for c in pages.columns])
+    return _first_of(pages, "full_title")
+
+
+def _first_of(pages: DataFrame, key: str) -> DataFrame:
+    rest = [c for c in pages.columns if c != key]
+    first = pages.groupBy(key).agg(F.min_by(F.struct(*rest), "page_seq").alias("_first"))
+    return first.select(*[F.col(key) if c == key else F.col(f"_first.{c}") for c in pages.columns])
+
+
+def dedup_elements(pages: DataFrame) -> DataFrame:
+    """Page elements that are kept: the first with a title, and of these the first with an id.
+
+    A later element is left out with all its revisions, also where it has the same id and another title.
+    """
+    return _first_of(dedup_titles(pages), "page_id")
 
 
 def report_duplicate_titles(pages: DataFrame) -> DataFrame:

@@ -91,6 +91,40 @@ VIEWS = {
     "keptfacts": "select f.* from textids f join keptpages k using (page_id)",
     "keptpageno": "select page_id, row_number() over (order by page_seq) as new_id from keptpages",
     "keptrevno": "select rev_id, row_number() over (order by page_seq, rev_seq) as new_id from keptfacts",
+    "keptpage": """
+        select p.* from page p join keptpages using (page_id)""",
+    "newpage": """
+        select n.new_id as page_id, page_namespace, page_title, page_restrictions, page_is_redirect, page_is_new,
+          page_random, page_touched, page_links_updated, coalesce(r.new_id, 0) as page_latest, page_len,
+          page_content_model, page_lang
+        from page p join keptpageno n using (page_id) left join keptrevno r on r.rev_id = p.page_latest""",
+    "keptrevision": "select * from revision where rev_page in (select page_id from keptpages)",
+    "newrevision": """
+        select r.new_id as rev_id, n.new_id as rev_page, t.new_id as rev_text_id, rev_comment, rev_user, rev_user_text,
+          rev_timestamp, rev_minor_edit, rev_deleted, rev_len, cast(coalesce(q.new_id, 0) as bigint) as rev_parent_id,
+          rev_sha1, rev_content_model, rev_content_format
+        from keptrevision v join keptrevno r on r.rev_id = v.rev_id join keptpageno n on n.page_id = v.rev_page
+          join keptrevno t on t.rev_id = v.rev_text_id left join keptrevno q on q.rev_id = v.rev_parent_id""",
+    "kepttext": "select x.* from texttable x join keptfacts f on f.rev_id = x.old_id",
+    "newtext": "select n.new_id as old_id, old_text, old_flags from kepttext x join keptrevno n on n.rev_id = x.old_id",
+    # history tables of the docs view, where a page has one revision whose id is the page's
+    "doc_page": """
+        select page_id, page_namespace, page_title, '' as page_restrictions,
+          cast(upper(substr(text, 1, 9)) = '#REDIRECT' and contains(text, '[[') as int) as page_is_redirect,
+          1 as page_is_new, 0.0::double as page_random, '20240101000000' as page_touched,
+          cast(null as varchar) as page_links_updated, page_id as page_latest, strlen(text) as page_len,
+          cast(null as varchar) as page_content_model, 'en' as page_lang, text
+        from firsttitle join docs using (page_id) where nth = 1""",
+    "doc_revision": """
+        select page_id as rev_id, page_id as rev_page, page_id as rev_text_id, '' as rev_comment, 0 as rev_user,
+          'seed' as rev_user_text, page_touched as rev_timestamp, 0 as rev_minor_edit, 0 as rev_deleted,
+          cast(null as bigint) as rev_len, 0 as rev_parent_id, sha1(text) as rev_sha1,
+          'wikitext' as rev_content_model, 'text/x-wiki' as rev_content_format, page_namespace
+        from doc_page""",
+    "doc_text": "select page_id as old_id, text as old_text, '' as old_flags, page_namespace from doc_page",
+    "shown": """
+        select page_id, page_ns as page_namespace, title, page_id as rev_id, text, sha1 from scanned
+        where redirect_title is null""",
     "doctext": "select page_id as old_id, text as old_text, '' as old_flags from docs",
     "doctsv": r"""
         select old_id, row_number() over (order by old_id) - 1 as idx, count(*) over () as n,
@@ -103,6 +137,10 @@ NEEDS = {
     "revpages": ["revs"], "page": ["titled", "rollup", "ntexts"], "revision": ["textids"], "texttable": ["textids"],
     "current": ["revs", "titled"], "cats": ["docs"], "ordinals": ["docs"], "corpus": ["cats", "ordinals"],
     "pageno": ["revpages"], "revno": ["revs"], "firsttitle": ["titled"], "lines": ["docs"], "marks": ["lines"],
+    "keptpage": ["page", "keptpages"], "newpage": ["page", "keptpageno", "keptrevno"],
+    "keptrevision": ["revision", "keptpages"], "newrevision": ["keptrevision", "keptrevno", "keptpageno"],
+    "kepttext": ["texttable", "keptfacts"], "newtext": ["kepttext", "keptrevno"],
+    "doc_page": ["firsttitle", "docs"], "doc_revision": ["doc_page"], "doc_text": ["doc_page"], "shown": ["scanned"],
     "scanned": ["docs"], "keptpages": ["firsttitle"], "keptfacts": ["textids", "keptpages"],
     "keptpageno": ["keptpages"], "keptrevno": ["keptfacts"], "doctext": ["docs"], "doctsv": ["doctext"],
 }
@@ -133,6 +171,32 @@ _COUNTS = """
 select 'page' as table_name, cast({page} as bigint) as n_rows union all select 'revision', {revision}
 union all select 'text', {text} union all select 'recentchanges', 0"""
 
+# Columns of the tables in their order; page_random, a double, is compared by build_page.
+_PAGE = """page_id, page_namespace, page_title, page_restrictions, page_is_redirect, page_is_new, page_touched,
+  page_links_updated, page_latest, page_len, page_content_model, page_lang"""
+_REVISION = """rev_id, rev_page, rev_text_id, rev_comment, rev_user, rev_user_text, rev_timestamp, rev_minor_edit,
+  rev_deleted, rev_len, rev_parent_id, rev_sha1, rev_content_model, rev_content_format"""
+_TEXT = "old_id, old_text, old_flags"
+
+
+def _digests(*tables: tuple[str, str, str]) -> str:
+    """One row for each row of (name, columns with the key first, source)."""
+    return " union all ".join(
+        f"select '{name}' as table_name, cast({columns.split(',')[0]} as bigint) as id, md5(concat_ws('|', {columns})) as digest from {source}"
+        for name, columns, source in tables)
+
+
+_KEPT = _digests(("page", _PAGE, "keptpage"), ("revision", _REVISION, "keptrevision"), ("text", _TEXT, "kepttext"))
+_NEW = _digests(("page", _PAGE, "newpage"), ("revision", _REVISION, "newrevision"), ("text", _TEXT, "newtext"))
+_DOC_TABLES = (("page", _PAGE, "doc_page"), ("revision", _REVISION, "doc_revision"), ("text", _TEXT, "doc_text"))
+_CURRENT = _digests(
+    ("page", "page_id, page_namespace, title, 0, 1, rev_id, length(text), 'wikitext'", "shown"),
+    ("revision", "rev_id, page_id, page_id, 0, 'importer', '20240101000000', 0, 0, length(text), 0, sha1", "shown"),
+    ("text", "page_id, text", "shown"),
+    ("recentchanges", "page_id, '20240101000000', 0, 'importer', title, 0, 0, page_id, page_id, 0, 0, 'mw.new', 0, "
+                      "'127.0.0.1', 0, length(text), 0, 0", "shown"),
+)
+
 _FLAT = "parent_id, rev_timestamp, contributor_id, username, ip, minor, comment, model, format, sha1"
 
 ORACLES: dict[str, str] = {
@@ -257,26 +321,36 @@ ORACLES: dict[str, str] = {
           cast((row_number() over (order by page_id) - 1) // 1000 as bigint) as batch
         from titled where page_namespace = 0"""),
     "order_main_ids": _docs_titled("titled", """
-        select page_id from titled where page_namespace = 0 order by page_id"""),
+        select page_id, row_number() over (order by page_id) - 1 as rank from titled where page_namespace = 0"""),
     "corpus_rows": _with("corpus", "select category, ordinal, article from corpus"),
     # whole conversions
-    "convert_dump": _with("page keptpages", "select * from page where page_id in (select page_id from keptpages)"),
-    "convert_history": _with("keptfacts keptpageno keptrevno", """
-        select r.new_id as rev_id, p.new_id as rev_page, t.new_id as rev_text_id,
-          cast(coalesce(q.new_id, 0) as bigint) as rev_parent_id, coalesce(f.text, '') as old_text
-        from keptfacts f join keptrevno r on r.rev_id = f.rev_id join keptpageno p on p.page_id = f.page_id
-          join keptrevno t on t.rev_id = f.rev_text_id left join keptrevno q on q.rev_id = f.parent_id"""),
-    "convert_current": _with("scanned", """
-        select page_id, page_ns as page_namespace, title as page_title, page_id as page_latest,
-          cast(length(text) as bigint) as page_len, text as old_text from scanned where redirect_title is null"""),
+    "convert_dump": _with("keptpage keptrevision kepttext", _KEPT),
+    "convert_history": _with("newpage newrevision newtext", _NEW),
+    "convert_history_docs": _docs_titled("doc_page doc_revision doc_text", _digests(*_DOC_TABLES)),
+    # what comes again has a known title, so nothing of it is kept
+    "convert_repeated": _with("keptpage keptrevision kepttext", _KEPT),
+    "convert_repeated_renumbered": _with("newpage newrevision newtext", _NEW),
+    "convert_options": _docs_titled("doc_page doc_revision doc_text", _digests(
+        ("page", _PAGE, "(select * replace ('2024-01-01T00:00:00Z' as page_touched) from doc_page where page_namespace in (0, 3))"),
+        ("revision", _REVISION, """(select * replace ('2024-01-01T00:00:00Z' as rev_timestamp) from doc_revision
+          where page_namespace in (0, 3))"""),
+        ("text", _TEXT, "(select * from doc_text where page_namespace in (0, 3))"))),
+    "convert_rejected": _with("firsttitle", """
+        select case when page_namespace not in (0, 3) then 'namespace not chosen' when nth = 1 and part = 1 then 'kept'
+          else 'repeated title or id' end as reason, page_id
+        from firsttitle join (values (1), (2)) parts(part) on part = 1 or page_id % 3 < 2"""),
+    "convert_current": _with("shown", _CURRENT),
+    "create_corpus": _with("cats", """
+        select distinct category, ordinal, article from (
+          select unnest(names) as category, ordinal, text as article from cats join (
+            select page_id, row_number() over (order by page_seq) - 1 as ordinal from docs
+            where redirect_title is null) using (page_id))"""),
+    "main_articles": _docs_titled("firsttitle cats", """
+        select page_id, rank, cast(rank // 1000 as bigint) as batch, text as article, array_to_string(names, '|') as categories
+        from (select page_id, row_number() over (order by page_id) - 1 as rank from firsttitle
+          where nth = 1 and page_namespace = 0) join cats using (page_id)"""),
     # streaming and user code
-    "stream_ingest": _with("scanned", """
-        select page_id as rc_id, '20240101000000' as rc_timestamp, cast(0 as bigint) as rc_user,
-          'importer' as rc_user_text, title as rc_title, 0 as rc_minor, 0 as rc_bot, page_id as rc_cur_id,
-          page_id as rc_this_oldid, cast(0 as bigint) as rc_last_oldid, 0 as rc_type, 'mw.new' as rc_source,
-          0 as rc_patrolled, '127.0.0.1' as rc_ip, cast(0 as bigint) as rc_old_len,
-          cast(length(text) as bigint) as rc_new_len, 0 as rc_deleted, cast(0 as bigint) as rc_logid
-        from scanned where redirect_title is null"""),
+    "stream_ingest": _with("shown", _CURRENT),
     "stream_dedup_titles": _docs_titled("firsttitle", "select page_id, full_title from firsttitle where nth = 1"),
     "map_pages": _with("docs", """
         select page_id, cast((length(text) - length(replace(text, '[[', ''))) // 2 as bigint) as n_links from docs"""),

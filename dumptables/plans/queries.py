@@ -182,17 +182,19 @@ def write_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("ordinal BIGINT, article STRING, category STRING").parquet(path)
 
 
-def _database(spark: SparkSession, sf: str) -> str:
+def _database_counts(spark: SparkSession, sf: str, truncate: bool) -> DataFrame:
+    """Rows of each table of a new database, which is dropped when they are counted."""
     name = f"dumptables_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_path(spark, 'database')}'")
-    tables.create_tables(spark, name)
-    for table, df in _history_tables(spark, sf).items():
-        df.write.insertInto(f"{name}.{table}")
-    return name
-
-
-def _table_counts(spark: SparkSession, database: str) -> DataFrame:
-    return _row_counts({t: spark.table(f"{database}.{t}") for t in tables.TABLES})
+    try:
+        tables.create_tables(spark, name)
+        for table, df in _history_tables(spark, sf).items():
+            df.write.insertInto(f"{name}.{table}")
+        if truncate:
+            tables.truncate_tables(spark, name)
+        return materialize(_row_counts({t: spark.table(f"{name}.{t}") for t in tables.TABLES}), "counts")
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
 def _row_counts(made: dict[str, DataFrame]) -> DataFrame:
@@ -203,19 +205,18 @@ def _row_counts(made: dict[str, DataFrame]) -> DataFrame:
 
 @query
 def create_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return _table_counts(spark, _database(spark, sf))
+    return _database_counts(spark, sf, truncate=False)
 
 
 @query
 def truncate_tables(spark: SparkSession, sf: str) -> DataFrame:
-    name = _database(spark, sf)
-    tables.truncate_tables(spark, name)
-    return _table_counts(spark, name)
+    return _database_counts(spark, sf, truncate=True)
 
 
 @query
 def skip_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _row_counts(convert.history_tables(seeds.revs(spark, sf), seeds.nslist(spark), with_text=False))
+    made = convert.history_tables(seeds.revs(spark, sf), seeds.nslist(spark), with_text=False)
+    return _row_counts({t: made[t] for t in ("page", "revision")})
 
 
 # --- tables -----------------------------------------------------------------------------------------------------
@@ -470,26 +471,92 @@ def corpus_rows(spark: SparkSession, sf: str) -> DataFrame:
 # --- whole conversions ------------------------------------------------------------------------------------------
 
 
+KEYS = {"page": "page_id", "revision": "rev_id", "text": "old_id", "recentchanges": "rc_id"}
+
+
+def _digests(made: dict[str, DataFrame], names: tuple[str, ...] = ("page", "revision", "text")) -> DataFrame:
+    """(table_name, id, digest): every row of every table, its values in one digest (page_random, a double, left out)."""
+    parts = []
+    for name in names:
+        columns = [c for c in made[name].columns if c != "page_random"]
+        values = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+        parts.append(made[name].select(F.lit(name).alias("table_name"), F.col(KEYS[name]).alias("id"), F.md5(values).alias("digest")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _repeated_dump(spark: SparkSession, sf: str) -> list[str]:
+    """A dump that was restarted: of every three pages, one comes again as it was and one with other revision ids."""
+    path = scratch_path(spark, "dump")
+    revs, ns = seeds.revs(spark, sf), seeds.nslist(spark)
+    seeds.write_dump(revs, ns, f"{path}/1")
+    moved = F.when(F.col("page_id") % 3 == 1, F.col("rev_id") + 10_000_000).otherwise(F.col("rev_id"))
+    seeds.write_dump(revs.where(F.col("page_id") % 3 < 2).withColumn("rev_id", moved), ns, f"{path}/2")
+    return [*seeds.dump_files(f"{path}/1"), f"{path}/2/pages"]
+
+
 @query
 def convert_dump(spark: SparkSession, sf: str) -> DataFrame:
-    made = convert.convert_dump(spark, _revs_dump(spark, sf))
-    return made["page"]
+    return _digests(convert.convert_dump(spark, _revs_dump(spark, sf)))
 
 
 @query
 def convert_history(spark: SparkSession, sf: str) -> DataFrame:
-    made = convert.convert_history(spark, _revs_dump(spark, sf), renumber=True)
-    return made["revision"].join(made["text"], F.col("rev_text_id") == F.col("old_id")).select(
-        "rev_id", "rev_page", "rev_text_id", "rev_parent_id", "old_text"
-    )
+    return _digests(convert.convert_history(spark, _revs_dump(spark, sf), renumber=True))
+
+
+@query
+def convert_history_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Long texts and repeated titles through the history reader."""
+    return _digests(convert.convert_history(spark, _docs_dump(spark, sf)))
+
+
+@query
+def convert_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    return _digests(convert.convert_dump(spark, _repeated_dump(spark, sf)))
+
+
+@query
+def convert_repeated_renumbered(spark: SparkSession, sf: str) -> DataFrame:
+    return _digests(convert.convert_history(spark, _repeated_dump(spark, sf), renumber=True))
+
+
+@query
+def convert_options(spark: SparkSession, sf: str) -> DataFrame:
+    """Chosen namespaces, compression of all but the latest texts, and timestamps as they are."""
+    made = convert.convert_dump(spark, _docs_dump(spark, sf), namespaces=KEEP_NAMESPACES, compress="old", raw_timestamps=True)
+    text = materialize(made["text"], "packed")
+    packed = F.col("old_flags") == ft.COMPRESSED_FLAG
+    plain = F.coalesce(ft.inflate(F.when(packed, F.col("old_text"))), F.col("old_text").cast("string"))
+    return _digests(made | {"text": text.select("old_id", plain.alias("old_text"), "old_flags")})
+
+
+@query
+def convert_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left out, beside what is kept: together all page elements of the dump."""
+    made = convert.convert_dump(spark, _repeated_dump(spark, sf), namespaces=KEEP_NAMESPACES)
+    kept = made["page"].select(F.lit("kept").alias("reason"), "page_id")
+    return kept.unionByName(made["rejected"].select("reason", "page_id"))
+
+
+CURRENT_TABLES = ("page", "revision", "text", "recentchanges")
 
 
 @query
 def convert_current(spark: SparkSession, sf: str) -> DataFrame:
-    made = convert.convert_current(spark, _docs_dump(spark, sf))
-    return made["page"].join(made["text"], F.col("page_id") == F.col("old_id")).select(
-        "page_id", "page_namespace", "page_title", "page_latest", "page_len", "old_text"
-    )
+    return _digests(convert.convert_current(spark, _docs_dump(spark, sf)), CURRENT_TABLES)
+
+
+@query
+def create_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "corpus")
+    convert.create_corpus(spark, _docs_dump(spark, sf), path)
+    return spark.read.schema("ordinal BIGINT, article STRING, category STRING").parquet(path)
+
+
+@query
+def main_articles(spark: SparkSession, sf: str) -> DataFrame:
+    found = convert.main_articles(spark, _docs_dump(spark, sf))
+    return found.withColumn("categories", F.array_join("categories", "|"))
 
 
 # --- streaming and user code ------------------------------------------------------------------------------------
@@ -501,19 +568,21 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "stream")
     pages = ingest.stream_pages(spark, files[1], 4)
     ingest.stream_ingest(pages, out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/recentchanges").drop("batch")
+    made = {t: spark.read.parquet(f"{out}/{t}").drop("batch") for t in CURRENT_TABLES}
+    return _digests(made, CURRENT_TABLES)
 
 
 @query
 def stream_dedup_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """One file a batch; the row of the latest batch is a title's answer."""
     files = _docs_dump(spark, sf)
     out = scratch_path(spark, "titles")
-    pages = ingest.stream_titles(spark, files[1], 1_000_000)
+    pages = ingest.stream_titles(spark, files[1], 1)
     writer = ingest.stream_dedup_titles(pages).writeStream.outputMode("update").foreachBatch(
         lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
     )
     writer.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("page_id", "full_title")
+    return spark.read.parquet(out).groupBy("full_title").agg(F.max_by("page_id", "batch").alias("page_id"))
 
 
 def _link_count(frame: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import HOT_ROWS, lookup
-from ..schema import REVISION_COLUMNS
 
 REVS_SQL = """
 select user_id as page_id,
@@ -14,7 +13,7 @@ select user_id as page_id,
   concat(case user_id % 4 when 0 then '' when 1 then 'Talk:' when 2 then 'User talk:' else 'Other:' end,
          'Page ', cast(cast(floor(user_id / 8) as bigint) as string)) as title,
   event_id + 1 as rev_id, nullif(event_id, 0) as parent_id,
-  concat(substr(cast(ts as string), 1, 10), 'T', substr(cast(ts as string), 12, 2), ':00:00Z') as rev_timestamp,
+  concat(replace(cast(date_trunc('hour', ts) as string), ' ', 'T'), 'Z') as rev_timestamp,
   case when event_id % 5 = 0 then null else event_id % 40 end as contributor_id,
   case when event_id % 5 = 0 then null else concat('user', cast(event_id % 40 as string)) end as username,
   case when event_id % 5 = 0 then concat('10.0.0.', cast(event_id % 250 as string)) end as ip,
@@ -31,8 +30,8 @@ from {events}
 
 DOCS_SQL = """
 select doc_id as page_id, (doc_id * 7919) % 1000003 as page_seq,
-  concat(case lang when 'en' then '' when 'de' then 'Talk:' else 'User talk:' end,
-         substr(replace(text, chr(10), ' '), 1, 12)) as title,
+  concat(case lang when 'en' then '' when 'de' then 'Talk:' when 'fr' then 'Other:' else 'User talk:' end,
+         'Page ', md5(coalesce(text, ''))) as title,
   case when doc_id % 17 = 0 then source end as redirect_title,
   case when doc_id % 17 = 0 then concat('#REDIRECT [[', source, ']]')
        else concat(text, chr(10), '[[Category:', source, ']]',
@@ -163,4 +162,4 @@ def docs_as_revisions(pages: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["REVISION_COLUMNS", "docs", "docs_as_revisions", "dump_files", "nslist", "revs", "tagged_docs", "write_dump"]
+__all__ = ["docs", "docs_as_revisions", "dump_files", "nslist", "revs", "tagged_docs", "write_dump"]

@@ -101,15 +101,20 @@ def dump_headers(pages: DataFrame) -> DataFrame:
 def scan_namespaces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Ordered namespaces (ns_pos, ns_id, ns_name) from the site information at the head of a dump.
 
-    The head of one file start is enough, so ``head(1)`` tries the first split before any other. What comes to the
-    driver is that head, a few KB, as with schema inference.
+    Only the first file (by path) that has one is read, and of it the first split; what comes to the driver is that
+    head, a few KB, as with schema inference.
     """
-    first = (
-        spark.read.option("lineSep", PAGE_CLOSE).text(path)
-        .where(F.contains("value", F.lit(SITEINFO_OPEN)))
-        .select(F.substring_index("value", SITEINFO_CLOSE, 1).alias("value"))
-        .head(1)
-    )
+    files = sorted(spark.read.format("text").load(path).inputFiles())
+    first = []
+    for file in files:
+        first = (
+            spark.read.option("lineSep", PAGE_CLOSE).text(file)
+            .where(F.contains("value", F.lit(SITEINFO_OPEN)))
+            .select(F.substring_index("value", SITEINFO_CLOSE, 1).alias("value"))
+            .limit(1).collect()
+        )
+        if first:
+            break
     head = spark.range(len(first)).select(F.lit(first[0]["value"] if first else None).cast("string").alias("value"))
     xml = F.concat(F.substr("value", F.instr("value", SITEINFO_OPEN)), F.lit(SITEINFO_CLOSE))
     site = head.select(F.from_xml(xml, SITEINFO_XML, XML_OPTIONS).alias("site"))

@@ -74,8 +74,12 @@ def stage_history(spark: SparkSession, path: str | list[str], with_text: bool =
 
 
 def history_texts(staged: DataFrame) -> DataFrame:
-    """(rev_id, text) of every revision; needs no page context."""
-    return staged.where(F.col("r.id").isNotNull()).select(F.col("r.id").alias("rev_id"), "text")
+    """(text_at, rev_id, text) of every revision; needs no page context. ``text_at`` is its place in the files."""
+    return staged.where(F.col("r.id").isNotNull()).select(_place(), F.col("r.id").alias("rev_id"), "text")
+
+
+def _place():
+    return F.struct("file", "block", "row").alias("text_at")
 
 
 def history_facts(staged: DataFrame) -> DataFrame:
@@ -92,11 +96,12 @@ def history_facts(staged: DataFrame) -> DataFrame:
     ends = narrow.groupBy(*split).agg(
         F.expr("max_by(page, struct(row, part)) FILTER (WHERE page IS NOT NULL)").alias("last_page")
     )
-    # From here to the join there is one row per split.
-    numbered = ends.select(*split, "last_page", (F.row_number().over(W.orderBy(*split)) - 1).alias("split_no"))
+    # From here to the join there is one row per split, and a window holds those of one file: no page crosses files.
+    in_file = W.partitionBy("file").orderBy("block")
+    numbered = ends.select(*split, "last_page", (F.row_number().over(in_file) - 1).alias("split_no"))
     last = F.when(F.col("last_page").isNotNull(), F.struct("split_no", F.col("last_page").alias("page")))
-    splits_before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = numbered.select(*split, "split_no", F.last(last, ignorenulls=True).over(splits_before).alias("carry"))
+    before = in_file.rowsBetween(W.unboundedPreceding, -1)
+    carried = numbered.select(*split, "split_no", F.last(last, ignorenulls=True).over(before).alias("carry"))
     own = F.when(F.col("page").isNotNull(), F.struct("split_no", "page"))
     placed = inside.join(carried, split).withColumn("head", F.coalesce(own, "carry"))
 
@@ -106,15 +111,15 @@ def history_facts(staged: DataFrame) -> DataFrame:
     page = "head.page"
     return placed.select(
         f"{page}.page_id",
-        F.struct(position("head.split_no", f"{page}.row").alias("position"), f"{page}.part").alias("page_seq"),
-        position("split_no", "row").alias("rev_seq"),
+        F.struct("file", position("head.split_no", f"{page}.row").alias("position"), f"{page}.part").alias("page_seq"),
+        position("split_no", "row").alias("rev_seq"), _place(),
         f"{page}.title", F.col("r.id").alias("rev_id"), F.col("r.parentid").alias("parent_id"),
         F.col("r.timestamp").alias("rev_timestamp"), F.col("r.contributor.id").alias("contributor_id"),
         F.col("r.contributor.username").alias("username"), F.col("r.contributor.ip").alias("ip"),
         F.col("r.minor").isNotNull().alias("minor"), F.col("r.comment").alias("comment"),
         F.col("r.model").alias("model"), F.col("r.format").alias("format"), F.col("r.sha1").alias("sha1"),
         f"{page}.redirect_title", f"{page}.page_ns", f"{page}.restrictions", "digest", "text_bytes", "text_redirect",
-        F.col(f"r.{CORRUPT}").alias("malformed"),
+        F.col(f"r.{CORRUPT}").alias("malformed"), F.col("r").isNotNull().alias("has_revision"),
     )
 
 

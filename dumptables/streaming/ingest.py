@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import normalize_title
+from ..operators.revisions import current_of_page
 from ..operators.tables import build_page_current, build_recentchanges, build_revision_current, build_text_current
 from ..schema import CORRUPT, HEADER_XML, PAGE_XML
 from ..sources.dump import PAGE_CLOSE, is_malformed, parse_pages
@@ -56,22 +57,6 @@ def stream_titles(spark: SparkSession, path: str, max_files_per_trigger: int = 8
     return numbered.select("page_id", F.struct("file", "block", "row").alias("page_seq"), "full_title")
 
 
-def current_of_page(pages: DataFrame) -> DataFrame:
-    """Current revision of each nested page: per field the last value present. No shuffle, so it also streams."""
-
-    def last(field: str):
-        values = F.transform("revision", lambda r: r[field])
-        # try_element_at: null for a page without revisions
-        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
-
-    return pages.where(~is_malformed() & F.col("redirect").isNull()).select(
-        F.col("id").alias("page_id"), "title",
-        F.coalesce("ns", F.lit(0)).alias("page_namespace"),
-        last("id").alias("rev_id"), last("timestamp").alias("rev_timestamp"), last("sha1").alias("sha1"),
-        last("text").alias("text"),
-    )
-
-
 def stream_ingest(
     pages: DataFrame, path: str, checkpoint: str, user: str = "importer", **trigger
 ) -> StreamingQuery:
@@ -98,19 +83,17 @@ def stream_ingest(
 
 
 def stream_dedup_titles(pages: DataFrame) -> DataFrame:
-    """The first page with a title, over the whole run. Use with output mode "update": a title is sent only once.
+    """The first page with a title in document order, over the whole run. Use with output mode "update".
 
-    A streaming aggregate rather than dropDuplicates: it picks the first page in document order inside a batch too,
-    and partial aggregation keeps a frequent title from meeting in one task. State grows with the number of distinct
+    A title is sent when it is met first, and again when a batch brings it anew; the row of the latest batch holds the
+    page that comes first in document order among all so far, whatever the order in which files arrive. So a sink that
+    replaces rows by title ends with the answer of :func:`~dumptables.operators.titles.dedup_titles`, and no clock is
+    read. Partial aggregation keeps a frequent title from meeting in one task. State grows with the number of distinct
     titles, as the rule demands; use the RocksDB state store for large runs.
     """
-    seen = pages.withColumn("_arrived", F.current_timestamp())  # one value per batch
     rest = [c for c in pages.columns if c != "full_title"]
-    titles = seen.groupBy("full_title").agg(
-        F.min_by(F.struct(*rest), "page_seq").alias("_first"), F.min("_arrived").alias("_arrived")
-    )
-    new = titles.where(F.col("_arrived") == F.current_timestamp())
-    return new.select(*[F.col("full_title") if c == "full_title" else F.col(f"_first.{c}") for c in pages.columns])
+    titles = pages.groupBy("full_title").agg(F.min_by(F.struct(*rest), "page_seq").alias("_first"))
+    return titles.select(*[F.col("full_title") if c == "full_title" else F.col(f"_first.{c}") for c in pages.columns])
 
 
 def good_pages(pages: DataFrame) -> DataFrame:
