@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,8 @@ from dumptables.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "8", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    folders = {"spark.checkpoint.dir": tempfile.mkdtemp(), "spark.sql.warehouse.dir": tempfile.mkdtemp()}
+    session = build_session("tests", "8", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}, **folders)
     yield session
     session.stop()
 
