@@ -223,6 +223,18 @@ ORACLES: dict[str, str] = {
         select concat(case when idx % 256 = 0 then 'INSERT INTO `text` VALUES ' else ',' end, '(', old_id, ',''',
           replace(replace(value, '''', '\'''), '"', '\"'), ''','''')',
           case when idx % 256 = 255 or idx = n - 1 then ';' else '' end) as line from doctsv"""),
+    "write_mysql_revision": _with("revision", r"""
+        select concat(case when idx % 256 = 0 then 'INSERT INTO `revision` VALUES ' else ',' end, '(', rev_id, ',', rev_page,
+          ',', rev_text_id, ',''', rev_comment, ''',', rev_user, ',''', rev_user_text, ''',''', rev_timestamp, ''',',
+          rev_minor_edit, ',', rev_deleted, ',NULL,', rev_parent_id, ',''', rev_sha1, ''',''', rev_content_model, ''',''',
+          rev_content_format, ''')', case when idx % 256 = 255 or idx = n - 1 then ';' else '' end) as line
+        from (select *, row_number() over (order by rev_id) - 1 as idx, count(*) over () as n from revision)"""),
+    "write_tsv_page": _with("page", r"""
+        select cast(page_id as varchar) as page_id, cast(page_namespace as varchar) as page_namespace, page_title,
+          page_restrictions, cast(page_is_redirect as varchar) as page_is_redirect,
+          cast(page_is_new as varchar) as page_is_new, page_random, page_touched, '\N' as page_links_updated,
+          cast(page_latest as varchar) as page_latest, cast(page_len as varchar) as page_len,
+          '\N' as page_content_model, page_lang from page"""),
     "write_pg_copy": _with("textids", r"""
         select concat_ws(chr(9), rev_id, page_id, rev_text_id, coalesce(comment, ''), coalesce(contributor_id, 0),
           coalesce(ip, username, ''), rev_timestamp, cast(minor as int), 0, '\N', coalesce(parent_id, 0), sha1, model,

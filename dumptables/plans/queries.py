@@ -166,6 +166,28 @@ def write_mysql_insert(spark: SparkSession, sf: str) -> DataFrame:
     return lines.where(F.col("line").rlike("^(INSERT INTO `text` VALUES |,)\\("))
 
 
+@query
+def write_mysql_revision(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with numbers, strings and nulls as INSERT statements."""
+    path = scratch_path(spark, "insert")
+    revision = materialize(tables.build_revision(_facts(spark, sf)), "revision")
+    sinks.write_mysql_insert(revision, "revision", path, ["rev_id"])
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    return lines.where(F.col("line").rlike("^(INSERT INTO `revision` VALUES |,)\\("))
+
+
+@query
+def write_tsv_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with nulls and a double, read back by field."""
+    path = scratch_path(spark, "tsv")
+    page = _page_table(_facts(spark, sf))
+    sinks.write_tsv(page, path)
+    fields = F.split("value", "\t", -1)
+    names = page.columns
+    return spark.read.text(path).select(*[
+        fields[n].cast("double").alias(c) if c == "page_random" else fields[n].alias(c) for n, c in enumerate(names)])
+
+
 @query
 def write_pg_copy(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "copy")
