@@ -168,6 +168,10 @@ def with_next(docs: DataFrame, work, schema: str, buckets: int | None = None) ->
     order = [r["bucket"] for r in firsts]
     # A range holds all rows of its smallest id, so of repeated ids all are sent, and the first in order is used.
     lender = placed_by([r["first"] for r in firsts] or [0], [order[n - 1] for n in range(len(order))] or [-1], "left")
+    # A number for each range whose hash leads to a partition of its own, so that no two ranges meet in a task.
+    spare = spark.range(40 * max(1, len(order))).select("id", F.pmod(F.hash("id"), F.lit(max(1, len(order)))).alias("part"))
+    slots = {r["part"]: r["id"] for r in spare.groupBy("part").agg(F.min("id").alias("id")).collect()}
+    slot_of = placed_by(order or [0], [slots.get(n, n) for n in range(len(order))] or [0], "left")
     here = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("lent"))
     there = F.struct(F.col("lender").alias("at"), F.lit(1).alias("lent"))
     rows = placed.withColumn("lender", lender("doc_id")).withColumn(
@@ -186,8 +190,8 @@ def with_next(docs: DataFrame, work, schema: str, buckets: int | None = None) ->
 
         return work(consecutive())
 
-    ordered = rows.repartition(max(1, len(order)), "at").sortWithinPartitions("at", "lent", "doc_id", "text")
-    return map_batches(ordered, run, schema)
+    ordered = rows.withColumn("slot", slot_of("at")).repartition(max(1, len(order)), "slot").drop("slot")
+    return map_batches(ordered.sortWithinPartitions("at", "lent", "doc_id", "text"), run, schema)
 
 
 def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
