@@ -9,9 +9,11 @@ from .plans.convert import (
     convert_current,
     convert_dump,
     convert_history,
+    create_corpus,
     current_tables,
     good_revisions,
     history_tables,
+    main_articles,
     stage_dump,
 )
 from .session import build_session
@@ -27,7 +29,7 @@ from .sources.dump import (
 from .sources.history import scan_history
 
 __all__ = [
-    "bad_pages", "build_session", "convert_current", "convert_dump", "convert_history", "current_tables",
-    "dump_headers", "explode_revisions", "good_revisions", "history_tables", "quarantine_malformed",
+    "bad_pages", "build_session", "convert_current", "convert_dump", "convert_history", "create_corpus", "current_tables",
+    "dump_headers", "explode_revisions", "good_revisions", "history_tables", "main_articles", "quarantine_malformed",
     "quarantine_revisions", "scan_dump", "scan_headers", "scan_history", "scan_namespaces", "stage_dump",
 ]
