@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task turns into Python objects at once.
+ROWS_AT_ONCE = 1024
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(begin, ROWS_AT_ONCE)
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function that yields dicts of columns, typed by ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,7 +37,7 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterab
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in work(batches):
+        for columns in work(_small(batches)):
             arrays = [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type, from_pandas=False)
                       for f in fields]
             yield pa.RecordBatch.from_arrays(arrays, schema=fields)
@@ -40,7 +50,7 @@ def filter_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = start()
-        for batch in batches:
+        for batch in _small(batches):
             yield batch.filter(pa.array(passes(batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -26,7 +26,7 @@ TOLERANCE = 1e-6
 STEP = 40
 #: Documents compared with one another in a task.
 BLOCK = 512
-MEMORY = 300_000
+MEMORY = 150_000
 NO_ID = -(1 << 63)
 
 _WORDS = re.compile(r"\w+")
