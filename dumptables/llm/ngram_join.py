@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import lookup
 from .common import longs, map_batches, slices, sorted_groups, store, texts
 from .components import connected_components
+from .rows import NO_ID, ROW, numbered
 
 N_WORDS = 5
 THRESHOLD = 0.8
@@ -27,7 +28,6 @@ STEP = 40
 #: Documents compared with one another in a task.
 BLOCK = 512
 MEMORY = 150_000
-NO_ID = -(1 << 63)
 
 _WORDS = re.compile(r"\w+")
 _RANDOM = np.random.default_rng(20240229)
@@ -337,15 +337,22 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, tolerance: floa
     return out.select(F.least("x", "y").alias("copy_a"), F.greatest("x", "y").alias("copy_b"))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class of ``near_duplicates`` with all its columns: the one with the smallest id.
 
-    Rows that repeat both id and text are one document. Rows without an id stay.
+    A null id counts as the smallest id here, too: of rows without an id that are copies of each other, or of rows with
+    an id, one without an id stays. Which one is told by a number of the row. Rows without words stay; those that
+    repeat both id and text are one document.
     """
-    found = store(near_duplicates(docs, **options).select("doc_id", "class_id"), "classes")
-    gone = store(found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "gone")
+    rows = numbered(docs, id_col, text_col)
+    at = id_col if rows is None else ROW
+    rows = docs if rows is None else rows
+    found = store(near_duplicates(rows, id_col=at, text_col=text_col, **options).select("doc_id", "class_id"), "classes")
+    known = lambda c: F.coalesce(c, F.lit(NO_ID))
+    gone = store(found.where(known("doc_id") != known("class_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    kept = rows.join(gone, rows[at].cast("bigint") == F.col("__gone"), "left_anti")
     again = store(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull())
-                  .select("doc_id"), "again")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(twice).select(*docs.columns)
+                  .select(F.col("doc_id").alias("__again")), "again")
+    twice = kept.join(again, rows[at].cast("bigint") == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
+    once = kept.join(again, rows[at].cast("bigint") == F.col("__again"), "left_anti")
+    return once.unionByName(twice).select(*docs.columns)

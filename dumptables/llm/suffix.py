@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import lookup
 from .common import longs, map_batches, slices, store, texts
-from .ngram_join import NO_ID, Shingler
+from .ngram_join import Shingler
+from .rows import NO_ID, ROW, numbered
 from .winnow import gram_hashes, window_minima
 
 #: Words of a passage that counts as repeated.
@@ -253,9 +254,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with passages cut that repeat earlier ones; the first occurrence of each passage stays.
 
     All columns stay, and ``n_chars``, where there is one, counts what is left. A document of which nothing is left
-    keeps its row with an empty text.
+    keeps its row with an empty text. Rows without an id come first, and are told apart by a number of the row.
     """
-    spans = repeated_passages(docs, id_col, text_col).where("cut").groupBy("doc_id").agg(
+    rows = numbered(docs, id_col, text_col)
+    at = id_col if rows is None else ROW
+    rows = docs if rows is None else rows
+    spans = repeated_passages(rows, at, text_col).where("cut").groupBy("doc_id").agg(
         F.collect_list(F.struct("start_word", "n_words")).alias("__spans")).select(F.col("doc_id").alias("__id"), "__spans")
 
     @F.udf("string", useArrow=True)
@@ -270,9 +274,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 merged.append([first, first + n])
         return cut_words(text or "", [tuple(m) for m in merged])
 
-    joined = docs.join(spans, docs[id_col].cast("bigint") == F.col("__id"), "left")
-    text = cut(docs[text_col].cast("string"), "__spans")
+    known = lambda c: F.coalesce(c, F.lit(NO_ID))
+    joined = rows.join(spans, known(rows[at].cast("bigint")) == known(F.col("__id")), "left")
+    text = cut(rows[text_col].cast("string"), "__spans")
     joined = joined.withColumn("__text", text)
-    count = F.when(F.col("__spans").isNotNull(), F.length("__text")).otherwise(docs["n_chars"]) if "n_chars" in docs.columns else None
+    count = F.when(F.col("__spans").isNotNull(), F.length("__text")).otherwise(rows["n_chars"]) if "n_chars" in docs.columns else None
     new = {text_col: F.col("__text"), "n_chars": count}
-    return joined.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else docs[c] for c in docs.columns])
+    return joined.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else rows[c] for c in docs.columns])

@@ -88,6 +88,17 @@ def test_pairs_and_one_document_of_each_group(spark):
     assert sorted(r.doc_id for r in n.drop_near_duplicates(twice).collect()) == [1, 2]
 
 
+def test_rows_without_an_id_lose_their_copies(spark):
+    texts = [" ".join(f"w{m}" for m in range(60)) + f" x{n}" for n in range(6)]
+    alone = "words of a text that nothing else here is like"
+    one = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (20, alone)]
+    assert sorted((r.doc_id or 0, r.doc_id is None) for r in n.drop_near_duplicates(documents(spark, one)).collect()) == [(0, True), (20, False)]
+    many = one + [(None, t) for t in texts] + [(None, alone + " but one"), (None, None), (None, ""), (None, "")]
+    kept = n.drop_near_duplicates(documents(spark, many)).collect()
+    assert sum(r.text in texts for r in kept) == 1 and all(r.doc_id is None for r in kept if r.text in texts)
+    assert sorted(r.text or "" for r in kept if r.text not in texts) == sorted(["", "", "", alone, alone + " but one"])
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = [n.least_matches(m, 0.8, 1e-6) for m in (40, 80, 120, 160, 200)]
     assert least == sorted(least) and all(0 < m < 0.8 * c for m, c in zip(least, (40, 80, 120, 160, 200)))

@@ -83,6 +83,18 @@ def test_cut_texts_keep_the_first_occurrence(spark):
             assert texts[i][0] == text
 
 
+def test_rows_without_an_id_lose_what_they_repeat(spark):
+    part = " ".join(f"p{n}" for n in range(60))
+    ends = [f"{e} " * 3 for e in "abcd"]
+    one = [(None, f"{part} {ends[0]}{part}"), (1, part + " " + ends[1])]
+    assert sorted(words_of(r.text) for r in s.drop_repeats(documents(spark, one)).collect()) == sorted(
+        [words_of(part + " " + ends[0]), words_of(ends[1])])
+    many = [(None, f"{part} {e}") for e in ends] + [(None, f"{part} {ends[0]}"), (7, part)]
+    got = [words_of(r.text) for r in s.drop_repeats(documents(spark, many)).collect()]
+    assert len(got) == 6 and sum("p0" in w for w in got) == 1
+    assert sum(len(w) for w in got) == 60 + 4 * 3 and sum(not w for w in got) == 2
+
+
 def test_equal_passages_retain_the_same_suffix():
     rng = random.Random(4)
     suffixes = s.Suffixes()
