@@ -340,19 +340,20 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, tolerance: floa
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class of ``near_duplicates`` with all its columns: the one with the smallest id.
 
-    A null id counts as the smallest id here, too: of rows without an id that are copies of each other, or of rows with
-    an id, one without an id stays. Which one is told by a number of the row. Rows without words stay; those that
-    repeat both id and text are one document.
+    A null id counts as the smallest id here, too. Rows that share an id, or have none, are documents of their own, each
+    judged by its own text; of those in one class one stays, told by a number of the row. Rows without words stay, but
+    rows that repeat both id and text are one document.
     """
     rows = numbered(docs, id_col, text_col)
     at = id_col if rows is None else ROW
-    rows = docs if rows is None else rows
-    found = store(near_duplicates(rows, id_col=at, text_col=text_col, **options).select("doc_id", "class_id"), "classes")
+    found = near_duplicates(docs if rows is None else rows, id_col=at, text_col=text_col, **options).select("doc_id", "class_id")
     known = lambda c: F.coalesce(c, F.lit(NO_ID))
-    gone = store(found.where(known("doc_id") != known("class_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = rows.join(gone, rows[at].cast("bigint") == F.col("__gone"), "left_anti")
-    again = store(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull())
-                  .select(F.col("doc_id").alias("__again")), "again")
-    twice = kept.join(again, rows[at].cast("bigint") == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
-    once = kept.join(again, rows[at].cast("bigint") == F.col("__again"), "left_anti")
-    return once.unionByName(twice).select(*docs.columns)
+    gone = found.where(known("doc_id") != known("class_id")).select(F.col("doc_id").alias("__gone"))
+    if rows is not None:
+        named = rows.where(F.col(id_col).isNotNull()).select(
+            ROW, F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__key"))
+        firsts = named.groupBy("__id", "__key").agg(F.min(ROW).alias("__first"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+        again = named.join(firsts, ["__id", "__key"]).where(F.col(ROW) > F.col("__first"))
+        gone = gone.union(again.select(ROW)).distinct()
+    docs, columns = docs if rows is None else rows, docs.columns
+    return docs.join(store(gone, "gone"), docs[at].cast("bigint") == F.col("__gone"), "left_anti").select(*columns)

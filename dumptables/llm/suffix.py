@@ -254,7 +254,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with passages cut that repeat earlier ones; the first occurrence of each passage stays.
 
     All columns stay, and ``n_chars``, where there is one, counts what is left. A document of which nothing is left
-    keeps its row with an empty text. Rows without an id come first, and are told apart by a number of the row.
+    keeps its row with an empty text. Rows without an id come first; rows that share an
+    id, or have none, are told apart by a number of the row, and each loses only what it repeats itself.
     """
     rows = numbered(docs, id_col, text_col)
     at = id_col if rows is None else ROW

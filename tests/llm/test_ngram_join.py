@@ -99,6 +99,14 @@ def test_rows_without_an_id_lose_their_copies(spark):
     assert sorted(r.text or "" for r in kept if r.text not in texts) == sorted(["", "", "", alone, alone + " but one"])
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    base = " ".join(f"w{m}" for m in range(60))
+    alone = "words of a text that nothing else here is like"
+    rows = [(1, base), (5, base + " more"), (5, alone), (6, base + " less"), (6, base), (7, ""), (7, ""), (7, None), (8, alone), (8, "!")]
+    got = [(r.doc_id, r.text) for r in n.drop_near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, base), (5, alone), (7, ""), (7, None), (8, "!")], key=str)
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = [n.least_matches(m, 0.8, 1e-6) for m in (40, 80, 120, 160, 200)]
     assert least == sorted(least) and all(0 < m < 0.8 * c for m, c in zip(least, (40, 80, 120, 160, 200)))

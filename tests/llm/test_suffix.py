@@ -95,6 +95,14 @@ def test_rows_without_an_id_lose_what_they_repeat(spark):
     assert sum(len(w) for w in got) == 60 + 4 * 3 and sum(not w for w in got) == 2
 
 
+def test_rows_that_share_an_id_lose_only_what_they_repeat(spark):
+    part = " ".join(f"p{n}" for n in range(60))
+    other = " ".join(f"q{n}" for n in range(100))
+    rows = [(1, part), (5, "some words before " + part), (5, other), (6, other + " and more")]
+    got = sorted((r.doc_id, " ".join(words_of(r.text)), r.n_chars) for r in s.drop_repeats(documents(spark, rows)).collect())
+    assert got == [(1, part, len(part)), (5, other, len(other)), (5, "some words before", 17), (6, "and more", 8)]
+
+
 def test_equal_passages_retain_the_same_suffix():
     rng = random.Random(4)
     suffixes = s.Suffixes()
