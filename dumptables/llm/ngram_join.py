@@ -36,7 +36,10 @@ _SHIFTS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, np.uint64)
 
 
 class Shingler:
-    """Sets of word n-grams as sorted 64-bit hashes; the hashes of words are remembered."""
+    """Sets of word n-grams as sorted 64-bit hashes; the hashes of words are remembered.
+
+    Words are found in the text as written and then put in lower case, as lower case can move their borders.
+    """
 
     def __init__(self, n: int = N_WORDS):
         self.n, self.known = n, {}
@@ -44,7 +47,7 @@ class Shingler:
     def _words(self, text: str) -> np.ndarray:
         out = []
         for part in slices(text):
-            words = _WORDS.findall(part.lower())
+            words = _WORDS.findall(part)
             found = list(map(self.known.get, words))
             if None in found:
                 if len(self.known) > MEMORY:
@@ -52,7 +55,7 @@ class Shingler:
                 for at, got in enumerate(found):
                     if got is None:
                         word = words[at]
-                        found[at] = self.known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+                        found[at] = self.known[word] = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "replace"))
             out.append(np.array(found, np.uint64))
         return np.concatenate(out)
 

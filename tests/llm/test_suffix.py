@@ -103,6 +103,15 @@ def test_rows_that_share_an_id_lose_only_what_they_repeat(spark):
     assert got == [(1, part, len(part)), (5, other, len(other)), (5, "some words before", 17), (6, "and more", 8)]
 
 
+def test_letters_that_grow_in_lower_case_do_not_move_the_cut(spark):
+    part = " ".join(f"p{n}" for n in range(60))
+    before, after = "\u0130stanbul D\u0130YE " * 6, "clean words that stay"
+    rows = [(1, part), (2, f"{before}{part} {after}")]
+    got = {r.doc_id: r.text for r in s.drop_repeats(documents(spark, rows)).collect()}
+    assert got == {1: part, 2: f"{before.strip()}\n{after}"}
+    assert len(s.Suffixes().words(before)) == 12
+
+
 def test_equal_passages_retain_the_same_suffix():
     rng = random.Random(4)
     suffixes = s.Suffixes()
