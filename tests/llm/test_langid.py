@@ -35,6 +35,19 @@ def test_bounded_models_still_tell_languages(spark):
     assert sum(got[i] == lang for i, _, lang in rows) > 0.97 * len(rows)
 
 
+def test_a_rare_language_keeps_its_words_in_a_bounded_model(spark):
+    rng = random.Random(5)
+    some = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    much, rare = [some(6) for _ in range(400)], [some(6) for _ in range(40)]
+    learn = [(i, " ".join(rng.choices(much, k=50)), "xx") for i in range(400)] + [(i, " ".join(rng.choices(rare, k=10)), "yy") for i in range(9)]
+    asked = [(i, " ".join(rng.choices(rare, k=12) + [some(5)])) for i in range(40)] + [(50, much[0]), (51, None), (52, "7"), (53, "q " * 5), (None, "éé")]
+    whole, bounded = (g.train_language_model(documents(spark, learn), *most) for most in ((9999, 99999), (200, 300)))
+    assert whole.all_words is whole.all_grams is None and len(bounded.words) == 200 and len(bounded.grams) == 300
+    got, want = (sorted(map(tuple, g.predict_language(documents(spark, asked), m).collect()), key=str) for m in (bounded, whole))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-6)
+    assert sum(r[1] == "yy" for r in got if r[0] is not None and r[0] < 40) == 40
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = made()
     turned = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 5 == 0 else lang) for i, t, lang in rows]
