@@ -305,13 +305,16 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     return map_batches(narrow, work, "id bigint, lang_pred string, score double")
 
 
-def drop_unknown(docs: DataFrame, model: LanguageModel, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Documents in a language the model knows, with at least this score, with all their columns."""
+def drop_unknown(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """Documents for which the model names a language, with all their columns; only "und" goes.
+
+    A score is a share among all languages, so there is no bar on it: a short text in words that several share stays.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model.bounded())
 
     def start():
         predict = predictor(sent.value)
-        return lambda batch: [lang != UNKNOWN and score >= least_score for lang, score in zip(*predict(texts(batch, text_col)))]
+        return lambda batch: [lang != UNKNOWN for lang in predict(texts(batch, text_col))[0]]
 
     return filter_batches(docs, start)
 

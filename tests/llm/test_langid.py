@@ -56,6 +56,14 @@ def test_held_out_rows_teach_nothing(spark):
     assert all(held == (zlib.crc32(str(i).encode()) % 5 == 0) for i, held, _, _ in one)
 
 
+def test_short_texts_in_shared_words_stay(spark):
+    langs = [f"l{n}" for n in range(6)]
+    model = g.train_language_model(documents(spark, [(n, f"common words of {lang * 3}", lang) for n, lang in enumerate(langs)]))
+    asked = documents(spark, [(1, "common"), (2, "common words"), (3, "12"), (4, None)])
+    assert all(r.score < 0.5 for r in g.predict_language(asked, model).collect())
+    assert sorted(r.doc_id for r in g.drop_unknown(asked, model).collect()) == [1, 2]
+
+
 def test_odd_rows(spark):
     rows = [(i, t, None if n % 2 else "en") for n, (i, t) in enumerate(odd_rows())]
     got = g.identify_languages(documents(spark, rows)).collect()
