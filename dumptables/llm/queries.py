@@ -11,6 +11,7 @@ from .langid import identify_languages
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .sampling import sample_digests
+from .spelling import spelling_variants
 from .suffix import repeated_passages
 from .topk import exact_topk, whole_vectors
 from .toxicity import score_toxicity, train_toxicity
@@ -77,6 +78,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents one edit from a far more frequent form, with the form and its root."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_url_filter": op2_url_filter,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
