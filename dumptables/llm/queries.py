@@ -9,6 +9,7 @@ from .common import table
 from .counts import count_tokens
 from .langid import identify_languages
 from .ngram_join import near_duplicates
+from .licenses import license_scan
 from .packing import pack_documents
 from .sampling import sample_digests
 from .spelling import spelling_variants
@@ -78,6 +79,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base license phrases and license templates met in every document."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents one edit from a far more frequent form, with the form and its root."""
     return spelling_variants(table(spark, sf_dir, "documents"))
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op12_license_scan": op12_license_scan,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
