@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import repair_conversations
 from .counts import count_tokens
 from .langid import identify_languages
 from .ngram_join import near_duplicates
@@ -79,6 +80,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of the base license phrases and license templates met in every document."""
     return license_scan(table(spark, sf_dir, "documents"))
@@ -100,6 +106,7 @@ QUERIES = {
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_license_scan": op12_license_scan,
     "op13_spelling_variants": op13_spelling_variants,
 }
