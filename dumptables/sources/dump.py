@@ -11,23 +11,37 @@ from ..functions.columns import drop_tag_blocks
 from ..schema import CORRUPT, HEADER_XML, PAGE_XML, SITEINFO_XML
 
 PAGE_OPEN, PAGE_CLOSE = "<page>", "</page>"
+REVISION_OPEN = "<revision>"
 SITEINFO_OPEN, SITEINFO_CLOSE = "<siteinfo", "</siteinfo>"
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
 def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = (), schema: str = PAGE_XML) -> DataFrame:
-    """Parse text records that each hold one page, up to its closing tag (batch or streaming).
+    """Parse text records that each end at a page's closing tag (batch or streaming), resynchronising at every page.
 
-    Elements that are not in ``schema`` are skipped. The parse sits in a generator, through which the optimizer does
-    not push filters: in a projection, each filter on a page field would parse the page once more.
+    A record runs up to one closing tag, so the page that it closes is the one after its last opening tag. Any earlier
+    opening tag in the record belongs to a page that never closed: it gives a row of its own, named by its header where
+    that can be read, with its text in ``_corrupt`` and no revisions; the pages after it are read as if it were not
+    there. Elements that are not in ``schema`` are skipped. The parse sits in a generator, through which the optimizer
+    does not push filters: in a projection, each filter on a page field would parse the page once more.
     """
-    start = F.instr("value", PAGE_OPEN)
-    record: Column = F.concat(F.substr("value", start), F.lit(PAGE_CLOSE))
+    parts = F.split("value", PAGE_OPEN, -1)
+    count = F.size(parts)
+    record: Column = F.concat(F.lit(PAGE_OPEN), F.element_at(parts, -1), F.lit(PAGE_CLOSE))
     for tag in drop_blocks:
         record = drop_tag_blocks(record, tag)
+    piece = "struct<xml:string,cut:string>"
+    unclosed = F.transform(
+        F.when(count > 2, F.slice(parts, F.lit(2), count - 2)).otherwise(F.array().cast("array<string>")),
+        lambda p: F.struct(F.concat(F.lit(PAGE_OPEN), F.substring_index(p, REVISION_OPEN, 1), F.lit(PAGE_CLOSE)).alias("xml"),
+                           F.concat(F.lit(PAGE_OPEN), p).alias("cut")))
+    pieces = F.concat(unclosed.cast(f"array<{piece}>"),
+                      F.array(F.struct(record.alias("xml"), F.lit(None).cast("string").alias("cut"))).cast(f"array<{piece}>"))
     keep = [c for c in records.columns if c != "value"]
-    page = F.from_xml(record, schema, XML_OPTIONS)
-    return records.where(start > 0).select(*keep, F.inline(F.array(page)))
+    split = records.where(count > 1).select(*keep, F.inline(pieces))
+    parsed = split.select(*keep, "cut", F.inline(F.array(F.from_xml("xml", schema, XML_OPTIONS))))
+    fields = [c for c in parsed.columns if c not in keep and c != "cut"]
+    return parsed.select(*keep, *[F.coalesce("cut", CORRUPT).alias(CORRUPT) if c == CORRUPT else c for c in fields])
 
 
 def scan_dump(
