@@ -11,7 +11,7 @@ from ..functions.columns import drop_tag_blocks
 from ..schema import CORRUPT, HEADER_XML, PAGE_XML, SITEINFO_XML
 
 PAGE_OPEN, PAGE_CLOSE = "<page>", "</page>"
-REVISION_OPEN = "<revision>"
+ID_CLOSE = "</id>"  # the end of a page's id, the last header element a cut-off page needs to be named
 SITEINFO_OPEN, SITEINFO_CLOSE = "<siteinfo", "</siteinfo>"
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
@@ -20,8 +20,8 @@ def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = (), schema: str
     """Parse text records that each end at a page's closing tag (batch or streaming), resynchronising at every page.
 
     A record runs up to one closing tag, so the page that it closes is the one after its last opening tag. Any earlier
-    opening tag in the record belongs to a page that never closed: it gives a row of its own, named by its header where
-    that can be read, with its text in ``_corrupt`` and no revisions; the pages after it are read as if it were not
+    opening tag in the record belongs to a page that never closed: it gives a row of its own, named by its header up to
+    the page id where that can be read, with its text in ``_corrupt`` and no revisions; the pages after it are read as if it were not
     there. Elements that are not in ``schema`` are skipped. The parse sits in a generator, through which the optimizer
     does not push filters: in a projection, each filter on a page field would parse the page once more.
     """
@@ -33,7 +33,7 @@ def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = (), schema: str
     piece = "struct<xml:string,cut:string>"
     unclosed = F.transform(
         F.when(count > 2, F.slice(parts, F.lit(2), count - 2)).otherwise(F.array().cast("array<string>")),
-        lambda p: F.struct(F.concat(F.lit(PAGE_OPEN), F.substring_index(p, REVISION_OPEN, 1), F.lit(PAGE_CLOSE)).alias("xml"),
+        lambda p: F.struct(F.concat(F.lit(PAGE_OPEN), F.substring_index(p, ID_CLOSE, 1), F.lit(ID_CLOSE + PAGE_CLOSE)).alias("xml"),
                            F.concat(F.lit(PAGE_OPEN), p).alias("cut")))
     pieces = F.concat(unclosed.cast(f"array<{piece}>"),
                       F.array(F.struct(record.alias("xml"), F.lit(None).cast("string").alias("cut"))).cast(f"array<{piece}>"))

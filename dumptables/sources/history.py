@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,54 +16,78 @@ ROW_BITS = 33
 ROW_MASK = (1 << ROW_BITS) - 1
 
 
+def _virtual_records(value: str) -> Column:
+    """A record cut at every revision: (before, rev, cut) for each; only the last revision of a record was closed.
+
+    ``before`` holds what stands between the end of the revision before and this one: the end of a page, headers.
+    A revision that never closed ends at the next page, whose header is then read as if nothing had been cut.
+    """
+    pieces = F.split(value, REVISION_OPEN, -1)
+    last = F.size(pieces) - 1
+
+    def piece(i: Column) -> Column:
+        return F.element_at(pieces, i + 1)
+
+    def tail(p: Column) -> Column:
+        return F.when(F.instr(p, PAGE_OPEN) > 0, F.substr(p, F.instr(p, PAGE_OPEN))).otherwise(F.lit(""))
+
+    alone = F.array(F.struct(piece(F.lit(0)).alias("before"), F.lit(None).cast("string").alias("rev"), F.lit(False).alias("cut")))
+    cut = F.transform(F.sequence(F.lit(1), last), lambda j: F.struct(
+        F.when(j == 1, piece(F.lit(0))).otherwise(tail(piece(j - 1))).alias("before"),
+        F.when(j == last, piece(j)).otherwise(F.substring_index(piece(j), PAGE_OPEN, 1)).alias("rev"),
+        (j < last).alias("cut")))
+    return F.when(last == 0, alone).otherwise(cut)
+
+
+ENTRIES = "array<struct<header:string,rev:string,cut:boolean>>"
+
+
+def _entries(record: Column) -> Column:
+    """One entry per header, and one for the revision, which takes the last header that did not close."""
+    parts = F.split(record["before"], PAGE_OPEN, -1)
+    headers = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    closed = F.transform(
+        F.filter(headers, lambda h: F.contains(h, F.lit(PAGE_CLOSE))),
+        lambda h: F.struct(h.alias("header"), F.lit(None).cast("string").alias("rev"), F.lit(False).alias("cut")),
+    )
+    opened = F.try_element_at(F.filter(headers, lambda h: ~F.contains(h, F.lit(PAGE_CLOSE))), F.lit(-1))
+    own = F.when(record["rev"].isNotNull(), F.array(F.struct(opened.alias("header"), record["rev"].alias("rev"), record["cut"].alias("cut"))))
+    return F.concat(closed.cast(ENTRIES), F.coalesce(own, F.array()).cast(ENTRIES))
+
+
 def stage_history(spark: SparkSession, path: str | list[str], with_text: bool = True) -> DataFrame:
     """Parse a dump once and store its revisions as columns: place, page header if there is one, revision, text.
 
-    The closing tag of a revision is the record separator, so a page may be larger than any row or split. A scan and
-    nothing more; the page of a revision without header is found by :func:`history_facts`.
+    The closing tag of a revision is the record separator, so a page may be larger than any row or split. A record is
+    cut again at every opening tag of a revision: one that never closed is a malformed revision of its own (its text
+    in ``_corrupt``), and what follows it is read as usual. A scan and nothing more; the page of a revision without
+    header is found by :func:`history_facts`.
     """
-    has_revision = F.instr("value", REVISION_OPEN) > 0
-    # What stands before the revision: the end of the page before, and headers. The last header without a closing tag
-    # is this revision's page; closed ones are pages without revisions.
-    before = F.when(has_revision, F.substring_index("value", REVISION_OPEN, 1)).otherwise(F.col("value"))
-    parts = F.split(before, PAGE_OPEN, -1)
-    xml = F.concat(F.substr("value", F.instr("value", REVISION_OPEN)), F.lit(REVISION_CLOSE))
-    revision = F.from_xml(xml, f"{REVISION_XML}, {CORRUPT} STRING", XML_OPTIONS)
     rows = spark.read.option("lineSep", REVISION_CLOSE).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK)).alias("row"),
-        has_revision.alias("has_revision"),
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("headers"),
-        F.when(has_revision, revision).alias("r"),
+        F.posexplode(F.flatten(F.transform(_virtual_records("value"), _entries))).alias("part", "entry"),
     )
+    xml = F.concat(F.lit(REVISION_OPEN), F.col("entry.rev"), F.lit(REVISION_CLOSE))
+    parsed = rows.select("*", F.when(F.col("entry.rev").isNotNull(), F.from_xml(xml, f"{REVISION_XML}, {CORRUPT} STRING", XML_OPTIONS)).alias("p"))
+    # A revision that never closed names itself by its leading id where the parse could not.
+    own_id = F.nullif(F.regexp_extract("entry.rev", r"^\s*<id>(\d+)</id>", 1), F.lit("")).cast("bigint")
+    revision = F.when(F.col("entry.cut"), F.col("p").withField(CORRUPT, F.concat(F.lit(REVISION_OPEN), F.col("entry.rev")))
+                      .withField("id", F.coalesce("p.id", own_id))).otherwise(F.col("p"))
+    parsed = parsed.select("file", "block", "row", "part", "entry", revision.alias("r"))
     text = empty_to_null("r.text")
-    narrow = rows.where((F.size("headers") > 0) | F.col("has_revision")).select(
-        "file", "block", "row", "headers", "has_revision",
-        F.col("r").dropFields("text").alias("r"),
-        text_digest("r.text").alias("digest"),
-        F.when(text.isNotNull(), byte_length("r.text")).alias("text_bytes"),
-        is_redirect(text).cast("int").alias("text_redirect"),
-        *([F.col("r.text").alias("text")] if with_text else []),
-    )
-    # One output row per header, and one for the revision.
-    closed = F.transform(
-        F.filter("headers", lambda h: F.contains(h, F.lit(PAGE_CLOSE))),
-        lambda h: F.struct(h.alias("header"), F.lit(False).alias("revision")),
-    )
-    opened = F.try_element_at(F.filter("headers", lambda h: ~F.contains(h, F.lit(PAGE_CLOSE))), F.lit(-1))
-    own = F.when(F.col("has_revision"), F.array(F.struct(opened.alias("header"), F.lit(True).alias("revision"))))
-    entries = F.concat(closed, F.coalesce(own, F.array().cast("array<struct<header:string,revision:boolean>>")))
-    stored = ["digest", "text_bytes", "text_redirect", *(["text"] if with_text else [])]
-    narrow = narrow.select("*", F.posexplode(entries).alias("part", "entry"))
     header_xml = F.concat(
         F.lit(PAGE_OPEN), F.substring_index("entry.header", PAGE_CLOSE, 1), F.lit(PAGE_CLOSE)
     )
-    narrow = narrow.select(
+    narrow = parsed.select(
         "file", "block", "row", "part",
         F.when(F.col("entry.header").isNotNull(), F.from_xml(header_xml, PAGE_HEADER_XML, XML_OPTIONS)).alias("h"),
-        F.when(F.col("entry.revision"), F.col("r")).alias("r"),
-        *[F.when(F.col("entry.revision"), F.col(c)).alias(c) for c in stored],
+        F.col("r").dropFields("text").alias("r"),
+        text_digest("r.text").alias("digest"),
+        F.when(text.isNotNull(), byte_length("r.text")).alias("text_bytes"),
+        is_redirect(text).cast("int").alias("text_redirect"),
+        *([F.col("r.text").alias("text")] if with_text else []),
     )
     page = F.when(F.col("h").isNotNull(), F.struct(
         F.col("h.id").alias("page_id"), F.col("h.title").alias("title"), F.col("h.ns").alias("page_ns"),
@@ -75,7 +99,7 @@ def stage_history(spark: SparkSession, path: str | list[str], with_text: bool =
 
 def history_texts(staged: DataFrame) -> DataFrame:
     """(text_at, rev_id, text) of every revision; needs no page context. ``text_at`` is its place in the files."""
-    return staged.where(F.col("r.id").isNotNull()).select(_place(), F.col("r.id").alias("rev_id"), "text")
+    return staged.where(F.col("r.id").isNotNull() & F.col(f"r.{CORRUPT}").isNull()).select(_place(), F.col("r.id").alias("rev_id"), "text")
 
 
 def _place():

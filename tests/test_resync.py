@@ -1,9 +1,10 @@
 """A page that never closes costs itself only: the scan resynchronises at the next page."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from dumptables.plans import convert
-from dumptables.sources import dump
+from dumptables.sources import dump, history
 from tests import dump_fixture as fx
 
 PAGE = """<page>
@@ -58,3 +59,32 @@ def test_conversions_lose_only_the_cut_pages(spark, path, how):
     assert len(kept) + len(rejected) == 40
     texts = made["text"].collect()
     assert len(texts) == len(kept) and all("&lt;" not in r.old_text and "<page>" in r.old_text for r in texts)
+
+
+def history_page(i, revisions, cut_at=None):
+    """A page of a full history; the revision at ``cut_at`` never closes, and neither does its page."""
+    text = f"<page>\n    <title>Page {i}</title>\n    <ns>0</ns>\n    <id>{i}</id>\n"
+    for n in range(revisions):
+        rev = f"    <revision>\n      <id>{100 * i + n}</id>\n      <timestamp>2005-08-31T01:02:03Z</timestamp>\n" \
+              f"      <text xml:space=\"preserve\">revision {n} of page {i}</text>\n    </revision>\n"
+        if n == cut_at:
+            return text + rev[:rev.index("revision " + str(n))]
+        text += rev
+    return text + "  </page>\n"
+
+
+@pytest.mark.parametrize("split", [None, "700"])
+def test_history_resynchronises(spark, tmp_path, conf, split):
+    if split:
+        conf("spark.sql.files.maxPartitionBytes", split)
+    pages = [history_page(1, 2), history_page(2, 3, cut_at=1), history_page(3, 2), history_page(4, 1, cut_at=0),
+             history_page(5, 3), "<page>\n    <title>Page 6</title>\n    <ns>0</ns>\n    <id>6</id>\n  </page>\n"]
+    file = tmp_path / "history.xml"
+    file.write_text(fx.HEAD + "".join("  " + p for p in pages) + "</mediawiki>\n", encoding="utf-8")
+    made = convert.convert_history(spark, str(file))
+    assert sorted(r.page_id for r in made["page"].collect()) == [1, 2, 3, 5, 6]
+    assert sorted(r.rev_id for r in made["revision"].collect()) == [100, 101, 200, 300, 301, 500, 501, 502]
+    bad = sorted((r.reason, r.page_id, r.rev_id) for r in made["rejected"].where(F.col("reason") == convert.MALFORMED_REVISION).collect())
+    assert bad == [(convert.MALFORMED_REVISION, 2, 201), (convert.MALFORMED_REVISION, 4, 400)]
+    facts = history.scan_history(spark, str(file)).where("malformed IS NOT NULL").collect()
+    assert sorted((r.page_id, r.title) for r in facts) == [(2, "Page 2"), (4, "Page 4")]
