@@ -11,6 +11,7 @@ threshold is found.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
@@ -53,24 +54,49 @@ def _needed(size: int) -> int:
     return -(-share.numerator * size // share.denominator)
 
 
-def words_of(text_col: str) -> F.Column:
-    """Words of a text: A-Z lower-cased, runs of characters outside the ASCII signs; null is the empty text."""
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
+#: The word pattern on UTF-8 bytes: every byte of a character beyond ASCII is above 0x7F, so the words are the same.
+WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def _places(phrase: str) -> F.Column:
-    """0-based starts of the consecutive places of ``phrase`` in ``words``."""
-    parts = phrase.split()
-    test = " AND ".join(f"words[i + {j}] = '{w}'" for j, w in enumerate(parts))
-    k = len(parts)
-    return F.expr(f"CASE WHEN size(words) >= {k} THEN filter(sequence(0, size(words) - {k}), i -> {test}) ELSE array() END")
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text: A-Z lower-cased, runs of characters outside the ASCII signs; null is the empty text."""
+    return WORD_BYTES.findall(text.translate(LOWER_BYTES)) if text else []
 
 
-def _order(words: DataFrame) -> dict[str, int]:
-    """Rank of every template word by the number of documents that hold it (rarest first), over all rows."""
+def base_places(words: list[bytes]) -> tuple[list[int], list[str]]:
+    """Starts of all consecutive places of the base phrases (0-based), and the labels that have some."""
+    starts, labels = [], []
+    for phrase, label in BASE:
+        parts = [w.encode() for w in phrase.split()]
+        k, first = len(parts), parts[0]
+        found = [i for i, w in enumerate(words) if w == first and words[i:i + k] == parts]
+        starts += found
+        if found:
+            labels.append(label)
+    return starts, sorted(labels)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+
+
+def _order(texts: DataFrame) -> dict[str, int]:
+    """Rank of every template word by the number of documents that hold it (rarest first), over all rows.
+
+    Each task counts the documents that hold each template word; Spark adds the counts up.
+    """
     vocabulary = sorted({w for _, text in TEMPLATES for w in text.split()})
-    held = words.select(F.explode(F.array_intersect(F.array_distinct("words"), F.array(*map(F.lit, vocabulary)))).alias("w"))
-    counts = dict(held.groupBy("w").count().collect())
+    wanted = {w.encode() for w in vocabulary}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.update(wanted.intersection(words_of(text)))
+        yield {"w": [w.decode() for w in held], "n": list(held.values())}
+
+    counts = dict(map_batches(texts.select("text"), count, "w string, n bigint").groupBy("w").agg(F.sum("n")).collect())
     return {w: rank for rank, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
@@ -125,28 +151,27 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is the empty text: 0 words, no places, empty labels, score 0. Every row gives one row; repeated or null ids are
     rows of their own; extra columns are not read.
     """
-    words = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), words_of(text_col).alias("words"))
-    plan = _plan(_order(words))
-    places = [F.struct(_places(phrase).alias("at"), F.lit(label).alias("label")) for phrase, label in BASE]
-    based = words.select("doc_id", "words", F.array(*places).alias("base")).select(
-        "doc_id", "words", F.size("words").cast("bigint").alias("n_words"),
-        F.flatten(F.transform("base", lambda b: b["at"])).alias("starts"),
-        F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"]))).alias("base_set"))
-    native = based.select("doc_id", "words", "n_words", F.size("starts").cast("bigint").alias("n_base"),
-                          F.array_min("starts").cast("bigint").alias("first_word"), F.array_max("starts").cast("bigint").alias("last_word"),
-                          F.array_join("base_set", ",").alias("base_labels"))
+    texts = _texts(docs, id_col, text_col)
+    plan = [(label, frozenset(w.encode() for w in distinct), width, need, frozenset(w.encode() for w in prefix))
+            for label, distinct, width, need, prefix in _plan(_order(texts))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            labels, scores, counts = [], [], []
-            for words_, base in zip(batch.column("words").to_pylist(), batch.column("base_labels").to_pylist()):
-                blocks = find_blocks(words_ or [], plan)
-                labels.append(",".join(sorted(set(base.split(",") if base else []) | {b[0] for b in blocks})))
-                scores.append(max((b[2] for b in blocks), default=0.0))
-                counts.append(len(blocks))
-            yield {**{c: batch.column(c) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")},
-                   "labels": labels, "score": scores, "n_blocks": counts}
+            out = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks")}
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                starts, base = base_places(words)
+                blocks = find_blocks(words, plan)
+                out["n_words"].append(len(words))
+                out["n_base"].append(len(starts))
+                out["first_word"].append(min(starts, default=None))
+                out["last_word"].append(max(starts, default=None))
+                out["base_labels"].append(",".join(base))
+                out["labels"].append(",".join(sorted(set(base) | {b[0] for b in blocks})))
+                out["score"].append(max((b[2] for b in blocks), default=0.0))
+                out["n_blocks"].append(len(blocks))
+            yield {"doc_id": batch.column("doc_id"), **out}
 
     schema = ("doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
               "labels string, score double, n_blocks bigint")
-    return map_batches(native, scan, schema)
+    return map_batches(texts, scan, schema)
