@@ -202,6 +202,9 @@ _FLAT = "parent_id, rev_timestamp, contributor_id, username, ip, minor, comment,
 ORACLES: dict[str, str] = {
     # sources
     "scan_dump": _with("scanned", "select * from scanned"),
+    "scan_cut_pages": _with("docs", """
+        select page_id, title, case when page_id is null or title is null then 'nameless'
+          when page_id % 10 = 3 then 'cut' else 'kept' end as state from docs"""),
     "scan_dump_bz2": _with("scanned", "select * from scanned"),
     "explode_revisions": _with("revs", f"""
         select page_id, row_number() over (partition by page_id order by rev_seq) - 1 as rev_pos, title, rev_id,

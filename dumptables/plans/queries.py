@@ -15,6 +15,7 @@ from ..functions import text as ft
 from ..operators import corpus, ids, sinks, tables, titles
 from ..operators import revisions as rv
 from ..operators.pages_map import map_pages
+from ..schema import CORRUPT
 from ..session import materialize, scratch_path
 from ..sources import dump, history
 from ..streaming import ingest
@@ -93,6 +94,17 @@ def scan_dump(spark: SparkSession, sf: str) -> DataFrame:
     return _scanned(dump.scan_dump(spark, _docs_dump(spark, sf)))
 
 
+@query
+def scan_cut_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth page of the dump never closes: each is set aside under its own id and title, every other page kept."""
+    path = scratch_path(spark, "dump")
+    seeds.write_dump(seeds.docs_as_revisions(seeds.docs(spark, sf)), seeds.nslist(spark), path, cut=F.col("page_id") % 10 == 3)
+    good, bad = dump.quarantine_malformed(dump.scan_dump(spark, seeds.dump_files(path)))
+    state = F.when(F.col(CORRUPT).isNotNull(), F.lit("cut")).otherwise(F.lit("nameless"))
+    return good.select(F.col("id").alias("page_id"), "title", F.lit("kept").alias("state")).unionByName(
+        bad.select(F.col("id").alias("page_id"), "title", state.alias("state")))
+
+
 @query
 def scan_dump_bz2(spark: SparkSession, sf: str) -> DataFrame:
     return _scanned(dump.scan_dump(spark, _docs_dump(spark, sf, "bzip2")))

@@ -111,11 +111,12 @@ def _header_xml(page_id: Column) -> Column:
 
 
 def write_dump(revisions: DataFrame, ns: DataFrame, path: str, compression: str = "none", broken: Column | None = None,
-               hot_rows: int = HOT_ROWS) -> None:
+               hot_rows: int = HOT_ROWS, cut: Column | None = None) -> None:
     """Write revisions as dump files below ``path``: site information first, then pages in order.
 
     A dump keeps a page in one piece, so files are cut between pages, and a page's rows stream through one sorted
-    task without being gathered. ``broken`` marks pages that get an id that is no number.
+    task without being gathered. ``broken`` marks pages that get an id that is no number; ``cut`` marks pages whose
+    last revision stops before its text, as a write that broke off leaves it: neither that revision nor the page closes.
     """
     for name in ("redirect_title", "page_ns"):
         if name not in revisions.columns:
@@ -127,10 +128,12 @@ def write_dump(revisions: DataFrame, ns: DataFrame, path: str, compression: str
     page_id = F.col("page_id").cast("string")
     if broken is not None:
         page_id = F.when(broken, F.concat(F.lit("x"), page_id)).otherwise(page_id)
+    last = F.col("rev_seq") == F.col("last_seq")
+    broken_off = last & (F.lit(False) if cut is None else F.coalesce(cut, F.lit(False)))
     line = F.concat(
         F.when(F.col("rev_seq") == F.col("first_seq"), _header_xml(page_id)).otherwise(F.lit("")),
-        _revision_xml(),
-        F.when(F.col("rev_seq") == F.col("last_seq"), F.lit("</page>")).otherwise(F.lit("")),
+        F.when(broken_off, F.substring_index(_revision_xml(), "<text", 1)).otherwise(_revision_xml()),
+        F.when(last & ~broken_off, F.lit("</page>")).otherwise(F.lit("")),
     )
     ordered = rows.repartitionByRange("page_seq").sortWithinPartitions("page_seq", "rev_seq")
     ordered.select(line.alias("line")).write.option("compression", compression).text(f"{path}/pages")
