@@ -202,6 +202,7 @@ _FLAT = "parent_id, rev_timestamp, contributor_id, username, ip, minor, comment,
 ORACLES: dict[str, str] = {
     # sources
     "scan_dump": _with("scanned", "select * from scanned"),
+    "scan_dump_namespaces": _with("scanned", "select * from scanned where page_ns in (0, 3)"),
     "scan_cut_pages": _with("docs", """
         select page_id, title, case when page_id is null or title is null then 'nameless'
           when page_id % 10 = 3 then 'cut' else 'kept' end as state from docs"""),

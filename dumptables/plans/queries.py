@@ -105,6 +105,12 @@ def scan_cut_pages(spark: SparkSession, sf: str) -> DataFrame:
         bad.select(F.col("id").alias("page_id"), "title", state.alias("state")))
 
 
+@query
+def scan_dump_namespaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of namespaces 0 and 3 only; the others are left out by their header, before they are parsed."""
+    return _scanned(dump.scan_dump(spark, _docs_dump(spark, sf), namespaces=[0, 3]))
+
+
 @query
 def scan_dump_bz2(spark: SparkSession, sf: str) -> DataFrame:
     return _scanned(dump.scan_dump(spark, _docs_dump(spark, sf, "bzip2")))

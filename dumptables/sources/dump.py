@@ -11,12 +11,14 @@ from ..functions.columns import drop_tag_blocks
 from ..schema import CORRUPT, HEADER_XML, PAGE_XML, SITEINFO_XML
 
 PAGE_OPEN, PAGE_CLOSE = "<page>", "</page>"
+NS_PATTERN = "<ns>(-?[0-9]+)</ns>"
 ID_CLOSE = "</id>"  # the end of a page's id, the last header element a cut-off page needs to be named
 SITEINFO_OPEN, SITEINFO_CLOSE = "<siteinfo", "</siteinfo>"
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
-def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = (), schema: str = PAGE_XML) -> DataFrame:
+def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = (), schema: str = PAGE_XML,
+                namespaces: Sequence[int] | None = None) -> DataFrame:
     """Parse text records that each end at a page's closing tag (batch or streaming), resynchronising at every page.
 
     A record runs up to one closing tag, so the page that it closes is the one after its last opening tag. Any earlier
@@ -24,6 +26,10 @@ def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = (), schema: str
     the page id where that can be read, with its text in ``_corrupt`` and no revisions; the pages after it are read as if it were not
     there. Elements that are not in ``schema`` are skipped. The parse sits in a generator, through which the optimizer
     does not push filters: in a projection, each filter on a page field would parse the page once more.
+
+    With ``namespaces``, a page whose ``<ns>`` element names another namespace is left out before it is parsed: the
+    first ``<ns>`` of a page is its header's, as texts are escaped. Pages without that element, and pages that never
+    closed, are parsed as before.
     """
     parts = F.split("value", PAGE_OPEN, -1)
     count = F.size(parts)
@@ -39,16 +45,22 @@ def parse_pages(records: DataFrame, drop_blocks: Sequence[str] = (), schema: str
                       F.array(F.struct(record.alias("xml"), F.lit(None).cast("string").alias("cut"))).cast(f"array<{piece}>"))
     keep = [c for c in records.columns if c != "value"]
     split = records.where(count > 1).select(*keep, F.inline(pieces))
+    if namespaces is not None:
+        ns = F.regexp_extract("xml", NS_PATTERN, 1)
+        split = split.where(F.col("cut").isNotNull() | (ns == "") | ns.isin([str(int(n)) for n in namespaces]))
     parsed = split.select(*keep, "cut", F.inline(F.array(F.from_xml("xml", schema, XML_OPTIONS))))
     fields = [c for c in parsed.columns if c not in keep and c != "cut"]
     return parsed.select(*keep, *[F.coalesce("cut", CORRUPT).alias(CORRUPT) if c == CORRUPT else c for c in fields])
 
 
 def scan_dump(
-    spark: SparkSession, path: str | list[str], drop_blocks: Sequence[str] = (), schema: str = PAGE_XML
+    spark: SparkSession, path: str | list[str], drop_blocks: Sequence[str] = (), schema: str = PAGE_XML,
+    namespaces: Sequence[int] | None = None,
 ) -> DataFrame:
     """Pages with nested revisions, from plain or compressed (bz2, gz) dump files.
 
+    ``namespaces`` (numbers) chooses pages by their header before anything else of them is parsed.
+
     The page's closing tag is the record separator, so one large file, bz2 included, is split over many tasks.
     ``page_seq`` is the document order: file (by path), split, row. One page is one row; for full histories, whose pages can
     outgrow a row, use :func:`~dumptables.sources.history.scan_history`.
@@ -62,7 +74,7 @@ def scan_dump(
         ).alias("page_seq"),
         "value",
     )
-    return parse_pages(placed, drop_blocks, schema)
+    return parse_pages(placed, drop_blocks, schema, namespaces)
 
 
 def scan_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:

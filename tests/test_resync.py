@@ -88,3 +88,16 @@ def test_history_resynchronises(spark, tmp_path, conf, split):
     assert bad == [(convert.MALFORMED_REVISION, 2, 201), (convert.MALFORMED_REVISION, 4, 400)]
     facts = history.scan_history(spark, str(file)).where("malformed IS NOT NULL").collect()
     assert sorted((r.page_id, r.title) for r in facts) == [(2, "Page 2"), (4, "Page 4")]
+
+
+def test_namespaces_are_chosen_before_the_parse(spark, tmp_path):
+    path = fx.write(tmp_path / "d.xml", cut_off=True)
+    chosen = dump.scan_dump(spark, path, namespaces=[0, 3])
+    every = dump.scan_dump(spark, path)
+    key = ["id", "title", "ns", "_corrupt"]
+    want = every.where("_corrupt IS NOT NULL OR ns IS NULL OR ns IN (0, 3)")
+    assert sorted(map(tuple, chosen.select(key).collect()), key=repr) == sorted(map(tuple, want.select(key).collect()), key=repr)
+    assert chosen.count() < every.count()
+    text = chosen._jdf.queryExecution().executedPlan().toString()
+    parse, choice = text.index("from_xml("), text.index("regexp_extract(xml")
+    assert choice > parse  # the filter stands below the parse in the printed tree: it runs first
