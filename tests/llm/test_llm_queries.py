@@ -23,7 +23,7 @@ def db():
 
 
 def test_one_query_for_each_operator():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLES) <= set(oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "language ID", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"]
