@@ -68,13 +68,16 @@ class Pieces:
         self.keys, self.moves = np.array(keys, np.int64)[order], np.array(moves, np.int32)[order]
         size = max([n for _, n, _ in pieces] + list(byte_ids)) + 1
         self.logs = np.zeros(size)
-        self.bytes: list[bytes] = [b""] * size
+        spelled: list[bytes] = [b""] * size
         for text, number, log in pieces:
-            self.logs[number], self.bytes[number] = log, text.encode()
+            self.logs[number], spelled[number] = log, text.encode()
         self.byte_ids = np.array(byte_ids, np.int32)
         self.logs[self.byte_ids] = BYTE_LOG
         for value, number in enumerate(byte_ids):
-            self.bytes[number] = bytes([value])
+            spelled[number] = bytes([value])
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+        self.sizes = np.fromiter(map(len, spelled), np.int64, size)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     @classmethod
     def public(cls, alpha: float = 1.0) -> Pieces:
@@ -105,7 +108,10 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation, without the space put in front of it."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
+        sizes = self.sizes[ids]
+        shift = self.starts[ids] - (np.cumsum(sizes) - sizes)  # from a byte's place in the text to that in the pieces
+        out = self.bytes[np.arange(sizes.sum()) + np.repeat(shift, sizes)]
+        return out.tobytes()[1:].decode("utf-8", "replace")
 
 
 class Lattice:
@@ -122,30 +128,39 @@ class Lattice:
         stop = ends[word]
         self.start_node = ends - sizes + np.arange(len(words))
         self.end_node = ends + np.arange(len(words))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # start, place there, end, piece
+        count = np.zeros(len(self.chars), np.int64)
         at, node, step = np.arange(len(self.chars)), np.zeros(len(self.chars), np.int32), 0
         alone = np.ones(len(self.chars), bool)
         while len(at):
             node = pieces.move(node, self.chars[at + step])
             at, node = at[node > 0], node[node > 0]
             hit = pieces.piece[node] != NO_PIECE
-            found.append((at[hit], at[hit] + step + 1, pieces.piece[node[hit]]))
+            begin = at[hit]
+            found.append((begin, count[begin], begin + step + 1, pieces.piece[node[hit]]))
+            count[begin] += 1
             if not step:
-                alone[at[hit]] = False
+                alone[begin] = False
             step += 1
             more = at + step < stop[at]
             at, node = at[more], node[more]
         rest = np.flatnonzero(alone)  # no piece of its own: spelled in bytes, of which ASCII has one
         ascii_id = pieces.byte_ids[np.minimum(self.chars[rest], 127)]
-        found.append((rest, rest + 1, np.where(self.chars[rest] < 128, ascii_id, NO_PIECE).astype(np.int32)))
-        begin, end, self.piece = (np.concatenate(c) for c in zip(*found))
+        found.append((rest, count[rest], rest + 1, np.where(self.chars[rest] < 128, ascii_id, NO_PIECE).astype(np.int32)))
+        count[rest] += 1
+        begin, nth, end, piece = (np.concatenate(c) for c in zip(*found))
+        to = (np.cumsum(count) - count)[begin] + nth  # edges in order of their starts, as found
+        begin = np.repeat(np.arange(len(self.chars)), count)
+        sorted_end, self.piece = np.empty_like(end), np.empty_like(piece)
+        sorted_end[to], self.piece[to] = end, piece
+        end = sorted_end
         length = 1 + (self.chars[begin] >= 0x80).astype(int) + (self.chars[begin] >= 0x800) + (self.chars[begin] >= 0x10000)
         weight = np.where(self.piece == NO_PIECE, BYTE_LOG * length, pieces.logs[self.piece])
         self.from_, self.to = begin + word[begin], end + word[begin]
         self.place = begin - (ends - sizes)[word[begin]]  # of the edge's start in its word
         # Mass from each node to the end of its word, nearest nodes first.
         left = stop[begin] - begin
-        order = np.argsort((left << 40) + self.from_)
+        order = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
         beta = np.zeros(len(self.chars) + len(words))
         edges = np.flatnonzero(np.r_[True, left[order][1:] != left[order][:-1], True]) if len(order) else []
         for low, high in zip(edges, edges[1:]):
@@ -153,13 +168,10 @@ class Lattice:
             value, source = weight[now] + beta[self.to[now]], self.from_[now]
             groups = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
             most = np.maximum.reduceat(value, groups)
-            count = np.diff(np.r_[groups, len(now)])
-            beta[source[groups]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, count)), groups))
-        order = np.argsort(self.from_, kind="stable")
-        for name in ("piece", "from_", "to", "place"):
-            setattr(self, name, getattr(self, name)[order])
-        self.begin = begin[order]
-        self.log = np.minimum(weight[order] + beta[self.to] - beta[self.from_], 0.0)
+            many = np.diff(np.r_[groups, len(now)])
+            beta[source[groups]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, many)), groups))
+        self.begin = begin
+        self.log = np.minimum(weight + beta[self.to] - beta[self.from_], 0.0)
         self.total = np.cumsum(np.exp(self.log))
         self.first = np.r_[0, np.cumsum(np.bincount(self.from_, minlength=len(beta)))]
         self.before = np.r_[0.0, self.total][self.first]  # mass of all edges before each node's
@@ -174,8 +186,14 @@ class Lattice:
         edge = low.copy()
         many = np.flatnonzero(high > low)  # most characters inside a word have one way on
         before = self.before[node[many]]
-        found = np.searchsorted(self.total, before + u[many] * (self.before[node[many] + 1] - before), side="right")
-        edge[many] = np.clip(found, low[many], high[many])
+        goal = before + u[many] * (self.before[node[many] + 1] - before)
+        at, last = low[many], high[many]
+        live = np.flatnonzero((self.total[at] <= goal) & (at < last))
+        while len(live):  # a node has few edges
+            at[live] += 1
+            now = at[live]
+            live = live[(self.total[now] <= goal[live]) & (now < last[live])]
+        edge[many] = at
         return edge
 
 
@@ -259,8 +277,8 @@ class Sampler:
         for n, text in enumerate(documents):
             units = _units(text)
             counts[n] = len(units)
-            for unit in dict.fromkeys(units):
-                place_of.setdefault(unit, len(place_of))
+            fresh = [u for u in dict.fromkeys(units) if u not in place_of]
+            place_of.update(zip(fresh, range(len(place_of), len(place_of) + len(fresh))))
             listed.extend(map(place_of.__getitem__, units))
         words = np.array(listed, np.int64)
         lattice = Lattice(self.pieces, [" " + u for u in place_of])
@@ -273,12 +291,14 @@ class Sampler:
         unit_of, edge = self._continue(lattice, unit, seeds, place, lattice.start_node[words], lattice.end_node[words], 1)
         cuts = np.searchsorted(unit_of, np.r_[offset, len(words)])
         paths: list[list[_Path]] = []
-        for n, key in enumerate(keys):
+        own_key = np.array(keys, np.int64)
+        tops = -np.log(-np.log(_mixed(_keys(own_key, 0, np.zeros(1, np.int64)))))
+        for n, (key, top) in enumerate(zip(keys, tops.tolist())):
             low, high = cuts[n], cuts[n + 1]
-            top = float(-np.log(-np.log(_mixed(_keys(np.array([key]), 0, np.array([0])))[0])))
             paths.append([self._path(lattice, key, 1 << 20, unit_of[low:high], edge[low:high], 0, top)])
         for s in range(2, self.k + 1):
             picks = []
+            turns = [_mixed(_keys(own_key, (2 << 20) + s, np.array([place]))) for place in (0, 1)]
             for n, known in enumerate(paths):
                 best = max(known, key=lambda p: p.rest.max())
                 at = int(best.rest.argmax())
@@ -290,7 +310,7 @@ class Sampler:
                 gone = [int(best.edges[at]), *best.gone.get(at, [])]
                 weight = np.exp(lattice.log[low:high])
                 weight[np.array(gone) - low] = 0
-                u = _mixed(_keys(np.array([keys[n]] * 2), (2 << 20) + s, np.array([0, 1])))
+                u = turns[0][n], turns[1][n]
                 chosen = int(low + min(np.searchsorted(np.cumsum(weight), u[0] * weight.sum(), side="right"), high - low - 1))
                 while weight[chosen - low] == 0:  # rounding at the upper end
                     chosen -= 1

@@ -1,10 +1,11 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import documents, odd_rows
 
-from dumptables.llm.sampling import Pieces, Sampler, decode, sample_digests, sample_segmentations
+from dumptables.llm.sampling import Lattice, Pieces, Sampler, decode, sample_digests, sample_segmentations
 
 VOCABULARY = [(" ", 0, -1.0), ("a", 1, -1.0), ("b", 2, -1.5), ("ab", 3, -1.2), (" a", 4, -1.4), ("aba", 5, -2.0)]
 
@@ -71,3 +72,21 @@ def test_round_trip_of_odd_rows(spark):
     digests = sample_digests(documents(spark, rows), 2).collect()
     assert all(r.round_trip for r in digests) and {r.doc_id for r in digests} == set(want)
     assert sample_digests(documents(spark, []), 2).count() == 0
+
+
+def test_edges_drawn_and_texts_decoded_are_those_of_plain_searches():
+    """The scan over a node's edges, the counted places of edges and the gathered bytes take the place of slower searches."""
+    public = Pieces.public()
+    words = [" the", " cat", " aaaa", " 漢字x", "   ", " naïve"]
+    lattice = Lattice(public, words)
+    assert (np.diff(lattice.from_) >= 0).all()
+    rng = np.random.default_rng(4)
+    node = rng.integers(0, len(lattice.first) - 1, 5000)
+    node = node[lattice.first[node] < lattice.first[node + 1]]
+    u = rng.random(len(node))
+    goal = lattice.before[node] + u * (lattice.before[node + 1] - lattice.before[node])
+    want = np.clip(np.searchsorted(lattice.total, goal, side="right"), lattice.first[node], lattice.first[node + 1] - 1)
+    assert (lattice.draw(node, u) == want).all()
+    for ids in ([], [5], rng.integers(0, len(public.sizes), 400).tolist()):
+        plain = b"".join(public.bytes[public.starts[n]:public.starts[n] + public.sizes[n]].tobytes() for n in ids)
+        assert public.decode(np.array(ids, np.int32)) == plain[1:].decode("utf-8", "replace")
