@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,18 @@ NO_PIECE = -1
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Random-like numbers strictly between 0 and 1, one for each 64-bit key."""
     with np.errstate(over="ignore"):
-        z = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = x.astype(np.uint64)
+        z += np.uint64(0x9E3779B97F4A7C15)
+        z ^= z >> np.uint64(30)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(27)
+        z *= np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    z >>= np.uint64(11)
+    out = z.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 def _keys(seed: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
@@ -81,18 +89,8 @@ class Pieces:
 
     @classmethod
     def public(cls, alpha: float = 1.0) -> Pieces:
-        """The public 32,000 pieces. The model scores merges by rank, so weights follow the law of Zipf: -alpha log(rank)."""
-        import public_tokenizers as files
-        from sentencepiece import SentencePieceProcessor
-
-        model = SentencePieceProcessor(model_file=files.path("piece_bpe_32k.model"))
-        plain, by_byte = [], {}
-        for n in range(model.vocab_size()):
-            if model.is_byte(n):
-                by_byte[int(model.id_to_piece(n)[1:-1], 16)] = n
-            elif not (model.is_control(n) or model.is_unknown(n) or model.is_unused(n)):
-                plain.append((model.id_to_piece(n).replace("▁", " "), n, -alpha * float(np.log(2 - model.get_score(n)))))
-        return cls(plain, [by_byte[b] for b in range(256)])
+        """The public 32,000 pieces, read once in a process. The model scores merges by rank, so weights follow the law of Zipf: -alpha log(rank)."""
+        return _public(cls, alpha)
 
     def move(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         low = char < DENSE
@@ -114,6 +112,21 @@ class Pieces:
         return out.tobytes()[1:].decode("utf-8", "replace")
 
 
+@cache
+def _public(cls: type[Pieces], alpha: float) -> Pieces:
+    import public_tokenizers as files
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=files.path("piece_bpe_32k.model"))
+    plain, by_byte = [], {}
+    for n in range(model.vocab_size()):
+        if model.is_byte(n):
+            by_byte[int(model.id_to_piece(n)[1:-1], 16)] = n
+        elif not (model.is_control(n) or model.is_unknown(n) or model.is_unused(n)):
+            plain.append((model.id_to_piece(n).replace("▁", " "), n, -alpha * float(np.log(2 - model.get_score(n)))))
+    return cls(plain, [by_byte[b] for b in range(256)])
+
+
 class Lattice:
     """All segmentations of a list of words, with the probability of each edge given that its start is reached.
 
@@ -150,19 +163,23 @@ class Lattice:
         count[rest] += 1
         begin, nth, end, piece = (np.concatenate(c) for c in zip(*found))
         to = (np.cumsum(count) - count)[begin] + nth  # edges in order of their starts, as found
-        begin = np.repeat(np.arange(len(self.chars)), count)
         sorted_end, self.piece = np.empty_like(end), np.empty_like(piece)
         sorted_end[to], self.piece[to] = end, piece
         end = sorted_end
-        length = 1 + (self.chars[begin] >= 0x80).astype(int) + (self.chars[begin] >= 0x800) + (self.chars[begin] >= 0x10000)
-        weight = np.where(self.piece == NO_PIECE, BYTE_LOG * length, pieces.logs[self.piece])
-        self.from_, self.to = begin + word[begin], end + word[begin]
-        self.place = begin - (ends - sizes)[word[begin]]  # of the edge's start in its word
+        each = np.arange(len(self.chars))
+        begin, word_of = np.repeat(each, count), np.repeat(word, count)
+        weight = pieces.logs[self.piece]
+        bare = np.flatnonzero(self.piece == NO_PIECE)
+        char = self.chars[begin[bare]]
+        weight[bare] = BYTE_LOG * (1 + (char >= 0x80).astype(int) + (char >= 0x800) + (char >= 0x10000))
+        self.from_, self.to = begin + word_of, end + word_of
+        self.place = np.repeat(each - (ends - sizes)[word], count)  # of the edge's start in its word
         # Mass from each node to the end of its word, nearest nodes first.
-        left = stop[begin] - begin
+        left = np.repeat(stop - each, count)
         order = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
         beta = np.zeros(len(self.chars) + len(words))
-        edges = np.flatnonzero(np.r_[True, left[order][1:] != left[order][:-1], True]) if len(order) else []
+        nearest = left[order]
+        edges = np.flatnonzero(np.r_[True, nearest[1:] != nearest[:-1], True]) if len(order) else []
         for low, high in zip(edges, edges[1:]):
             now = order[low:high]
             value, source = weight[now] + beta[self.to[now]], self.from_[now]
@@ -173,12 +190,14 @@ class Lattice:
         self.begin = begin
         self.log = np.minimum(weight + beta[self.to] - beta[self.from_], 0.0)
         self.total = np.cumsum(np.exp(self.log))
-        self.first = np.r_[0, np.cumsum(np.bincount(self.from_, minlength=len(beta)))]
+        degree = np.zeros(len(beta), np.int64)
+        degree[each + word] = count
+        self.first = np.r_[0, np.cumsum(degree)]
         self.before = np.r_[0.0, self.total][self.first]  # mass of all edges before each node's
         self.inside = np.r_[self.place, 0][self.first]
         with np.errstate(divide="ignore"):
             self.others = np.log(np.maximum(-np.expm1(self.log), 0.0))  # log mass of the other edges
-        self.others[(self.first[1:] - self.first[:-1])[self.from_] == 1] = -np.inf
+        self.others[np.repeat(count == 1, count)] = -np.inf
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node."""
@@ -264,9 +283,14 @@ class Sampler:
 
     def _path(self, lattice: Lattice, seed: int, stream: int, units: np.ndarray, edges: np.ndarray, own: int,
               value: float, before: np.ndarray | None = None) -> _Path:
-        logs = np.r_[0.0, np.cumsum(lattice.log[edges])]
-        u = _mixed(_keys(np.full(len(edges) - own, seed, np.int64), stream, np.arange(own, len(edges))))
-        rest = np.r_[np.full(own, -np.inf), _below(logs[own:-1] + lattice.others[edges[own:]], value, u)]
+        logs = np.zeros(len(edges) + 1)
+        np.cumsum(lattice.log[edges], out=logs[1:])
+        rest = np.full(len(edges), -np.inf)
+        others = lattice.others[edges[own:]]
+        open_ = np.flatnonzero(others > -np.inf)  # where there is another way on
+        place = open_ + own
+        u = _mixed(_keys(np.array([seed], np.int64), stream, place))
+        rest[place] = _below(logs[place] + others[open_], value, u)
         return _Path(edges, units, own, value, logs, rest)
 
     def batch(self, keys: list[int], documents: list[str]) -> Iterator[tuple[int, list[tuple[np.ndarray, float, float]]]]:

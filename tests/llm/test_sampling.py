@@ -90,3 +90,7 @@ def test_edges_drawn_and_texts_decoded_are_those_of_plain_searches():
     for ids in ([], [5], rng.integers(0, len(public.sizes), 400).tolist()):
         plain = b"".join(public.bytes[public.starts[n]:public.starts[n] + public.sizes[n]].tobytes() for n in ids)
         assert public.decode(np.array(ids, np.int32)) == plain[1:].decode("utf-8", "replace")
+
+
+def test_public_pieces_are_read_once_in_a_process():
+    assert Pieces.public() is Pieces.public()
